@@ -17,7 +17,7 @@ GRAPH_NEIGHBOURS = 10
 MAX_PARTS = 128
 HIDDEN = 128
 EPOCHS = 12
-BLOCK = 2048
+BLOCK = 512
 
 
 def nearest(queries: np.ndarray, base: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

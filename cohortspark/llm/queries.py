@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import quantiles, splits
+from . import packing, quantiles, splits
 from .markov import Clustering
 from .neighbours import close_pairs, neighbours
 
@@ -72,8 +72,34 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).summary()
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p2_found": p2_found, "p2_splits": p2_splits, "p2_income_rows": p2_income_rows}
-QUERIES |= {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sized = table(spark, d, "documents", "doc_id", "text").select("doc_id", packing.byt5_tokens("text").alias("size"))
+    return packing.containers(sized, table(spark, d, "pack_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.cut_texts(_packed(spark, d))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container, position and extent of every piece of every text."""
+    return _packed(spark, d).drop("capacity")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each target the tokens and pieces packed; with the containers used and the fewest possible."""
+    packed = _packed(spark, d)
+    used = packed.groupBy("target_id", "capacity").agg(F.sum("piece_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.count_distinct("container_id").alias("n_containers"))
+    return used.withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity")))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters,
+        p8_found, p8_containers, p8_fill,
+    )
+}
 
 _QS = ", ".join(map(str, quantiles.PERCENTILES))
 
@@ -111,4 +137,6 @@ s AS MATERIALIZED (SELECT a.id AS q, b.id AS n FROM v a JOIN v b ON a.id <> b.id
 c AS (SELECT id AS a, id AS b FROM v UNION SELECT c.a, s.n FROM c JOIN s ON s.q = c.b),
 g AS (SELECT a AS rinpersoon, min(b) AS cluster_key FROM c GROUP BY 1)
 SELECT cluster_key, rinpersoon FROM g WHERE cluster_key IN (SELECT cluster_key FROM g GROUP BY 1 HAVING count(*) >= 3)""",
+    "p8_found": """
+SELECT target_id, doc_id FROM documents, pack_targets WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > capacity""",
 }
