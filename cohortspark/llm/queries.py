@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import packing, quantiles, splits
+from . import leakage, packing, quantiles, splits
 from .markov import Clustering
 from .neighbours import close_pairs, neighbours
 
@@ -93,11 +93,24 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity")))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter("exact_windows > 0").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with passages of items, altered ones too, and how much of the item they hold."""
+    return _leaks(spark, d)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters,
-        p8_found, p8_containers, p8_fill,
+        p8_found, p8_containers, p8_fill, p9_found, p9_leaks,
     )
 }
 
