@@ -8,6 +8,7 @@ from ..sources.tables import table
 from . import leakage, packing, quantiles, splits
 from .markov import Clustering
 from .neighbours import close_pairs, neighbours
+from .sentences import sentences
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +107,20 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "sent_start", "sent_end")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence with its place and text."""
+    return sentences(table(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters,
-        p8_found, p8_containers, p8_fill, p9_found, p9_leaks,
+        p8_found, p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_sentences,
     )
 }
 
