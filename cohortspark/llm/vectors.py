@@ -103,7 +103,7 @@ def fit_tree(reps: DataFrame, dim: int = 64, fit_rows: int = FIT_ROWS, part_rows
     got = reps.filter(_sample(reps, fit_rows, total)).select("id", "vec").orderBy("id").toArrow()
     sample = matrix(got["vec"], dim)
     leaves = int(np.ceil(total / part_rows))
-    root = LearnedPartition.fit(sample, leaves)
+    root = LearnedPartition.fit(sample, min(leaves, max_parts))
     if leaves <= 4 * max_parts or root.weights is None:
         return RoutingTree(root)
     each = int(np.ceil(leaves / root.parts))
@@ -118,7 +118,7 @@ def fit_tree(reps: DataFrame, dim: int = 64, fit_rows: int = FIT_ROWS, part_rows
         x = matrix(rows.sort_by("id")["vec"], dim)
         step = max(1, -(-len(x) // fit_rows))  # a part far above its share
         model = LearnedPartition.fit(x[::step], each)
-        return pa.table({"part": [key[0].as_py()], "model": [pickle.dumps((model.parts, model.weights, model.load))]})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": [pickle.dumps((model.parts, model.weights, model.load))]})
 
     placed = chosen.mapInArrow(place, "part int, id long, vec binary")
     models = placed.groupBy("part").applyInArrow(learn, "part int, model binary").collect()

@@ -101,7 +101,8 @@ def test_second_level_is_fitted_where_one_model_has_too_few_parts(spark):
     x = np.random.default_rng(6).normal(size=(2000, 64))
     reps = Copies(sound_vectors(spark.createDataFrame(_rows(x), SCHEMA), "id", "v")).reps
     tree = fit_tree(reps, fit_rows=400, part_rows=50, max_parts=4)
-    assert len(tree.children) == tree.root.parts > 1 and tree.leaves > tree.root.parts
+    # a part that the classifier gives to no vector has no model of its own and stays one leaf
+    assert tree.root.parts == 4 and tree.children and tree.leaves > tree.root.parts
     parts = tree.route(matrix(reps.select("vec").toArrow()["vec"], 64), 3)
     assert parts[:, 0].min() >= 0 and parts.max() < tree.leaves
-    assert len(np.unique(parts[:, 0])) == tree.leaves
+    assert len(np.unique(parts[:, 0])) > tree.root.parts
