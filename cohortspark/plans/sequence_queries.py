@@ -9,8 +9,8 @@ from ..operators import sequences as sq, spells as sp
 from ..sources.tables import table
 from .cleaning_queries import UNIFORM
 
-#: Length of encoded sequences in the queries.
-LENGTH = 64
+#: Length of encoded sequences in the queries, and the shorter one that their SQL still has.
+LENGTH, SQL_LENGTH = sq.MAX_LENGTH, 64
 PREFIX = 2
 
 
@@ -112,8 +112,8 @@ def time_slice_min_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_masking(spark: SparkSession, d: str) -> DataFrame:
-    encoded = sq.encode(_tokens(spark, d), _vocabulary(spark, d))
-    return sq.random_mask(encoded, 200)
+    vocab = _vocabulary(spark, d)
+    return sq.random_mask(sq.encode(_tokens(spark, d), vocab), vocab.count())
 
 
 def event_masking(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ v0 AS (SELECT -2 AS s, unnest(range(5)) AS o, unnest(['[PAD]', '[CLS]', '[SEP]',
 v AS (SELECT row_number() OVER (ORDER BY s, o, token) - 1 AS id, token, category FROM v0)"""
 
 _T = _V + f""",
-x AS (SELECT * FROM n WHERE k - i <= ({LENGTH} - {PREFIX} - 1) // 3),
+x AS (SELECT * FROM n WHERE k - i <= ({SQL_LENGTH} - {PREFIX} - 1) // 3),
 l AS (SELECT person, {PREFIX} + 3 * (row_number() OVER (PARTITION BY person ORDER BY i) - 1) AS place, *EXCLUDE person FROM x),
 w AS (SELECT person, 0 AS pos, '[CLS]' AS token, 0 AS abspos, 0 AS seg FROM b UNION ALL SELECT person, 1, '[SEP]', 0, 0 FROM b
       UNION ALL SELECT person, place + o, CASE o WHEN 0 THEN t1 WHEN 1 THEN t2 ELSE '[SEP]' END, days,
@@ -217,7 +217,7 @@ WHERE event_code LIKE 'JOB%' AND daysSinceFirstEvent BETWEEN 0 AND 17999 AND yea
     "token_person_counts": _E + """
 SELECT token, count(DISTINCT person) AS n_persons FROM (SELECT person, t1 AS token FROM e UNION ALL SELECT person, t2 FROM e) GROUP BY 1 HAVING count(DISTINCT person) >= 20""",
     "encode_sequences": _T + f"""
-SELECT person, string_agg(id, ',' ORDER BY pos) || repeat(',0', {LENGTH} - count(*)) AS input_ids, string_agg(abspos, ',' ORDER BY pos) AS abspos,
+SELECT person, string_agg(id, ',' ORDER BY pos) || repeat(',0', {SQL_LENGTH} - count(*)) AS input_ids, string_agg(abspos, ',' ORDER BY pos) AS abspos,
        string_agg(seg, ',' ORDER BY pos) AS segment, count(*)::INTEGER AS n_tokens FROM d GROUP BY 1""",
     "time_slice_min_events": _E + """
 SELECT person, count(*) FILTER (days BETWEEN 9000 AND 14000)::INTEGER AS n_events FROM p GROUP BY 1
