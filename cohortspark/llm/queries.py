@@ -94,12 +94,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity")))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text", "lang"))
+def _leaks(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text", "lang"), exact=exact)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter("exact_windows > 0").select("doc_id", "item_id")
+    return _leaks(spark, d, exact=True).filter("exact_windows > 0").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:

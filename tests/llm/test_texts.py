@@ -68,6 +68,54 @@ def test_edit_distance_band():
         assert [int(x) for x in got] == [min(_edit(x, y), most + 1) for x, y in zip(a, b)]
 
 
+def _altered(rows, kind, new):
+    """Each row with a symbol changed, put in or left out, at one place after the other, and cut to its width."""
+    out = []
+    for i, row in enumerate(rows):
+        k = i % len(row)
+        out.append({"changed": [*row[:k], new[i], *row[k + 1 :]], "put in": [*row[:k], new[i], *row[k:-1]], "left out": [*row[:k], *row[k + 1 :], new[i]]}[kind])
+    return np.array(out, np.uint64)
+
+
+def test_keys_reach_the_stated_recall():
+    rng = np.random.default_rng(7)
+    for width in (leakage.WORDS, leakage.LETTERS):
+        a, new = rng.integers(1, 1 << 62, (3000, width)).astype(np.uint64), rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+        keys = lambda x: leakage.cgk_keys(x.ravel(), np.arange(3000) * width, width)  # noqa: E731, B023
+        for kind in ("changed", "put in", "left out"):
+            b = _altered(a, kind, new)
+            assert (leakage.edit_distance(a, b, open_end=True) == 1).all()
+            assert (keys(a) == keys(b)).any(0).mean() >= leakage.RECALL, (width, kind)
+
+
+def test_open_end_against_brute_force():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 2, (2, 600, 5)).astype(np.uint64)
+    for most in (1, 2):
+        want = [min(_edit(x, y), _edit(x[:-1], y), _edit(x, y[:-1]), most + 1) for x, y in zip(a.tolist(), b.tolist())]
+        assert leakage.edit_distance(a, b, most, open_end=True).tolist() == want
+
+
+def test_altered_passages_without_an_exact_window(spark):
+    docs, items = [], []
+    for i in range(300):
+        words = [f"w{i}x{k}" for k in range(12)]
+        k = 1 + i // 3 % 10
+        items.append((i, " ".join(words), "en"))
+        docs.append((i, " ".join(["before", *words[:k], *([f"n{i}"], [f"n{i}", words[k]], [])[i % 3], *words[k + 1 :], "after", "it"])))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, lang string")).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["exact_windows"] == 0 for r in got)
+    assert len(got) >= leakage.RECALL * 300
+
+
+def test_exact_search_finds_the_same_exact_windows(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(50)]
+    docs = spark.createDataFrame([(i, "a " + (t if i % 2 else t.replace("x9", "y"))) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "item_id long, text string, lang string")
+    rows = lambda df: sorted((r["doc_id"], r["item_id"], r["exact_windows"]) for r in df.filter("exact_windows > 0").collect())
+    assert rows(leakage.leaks(docs, items, exact=True)) == rows(leakage.leaks(docs, items)) == [(i, i, 9) for i in range(1, 50, 2)]
+
+
 def test_leaks(spark):
     words = [f"word{i}" for i in range(30)]
     item, zh = " ".join(words), "".join(chr(0x4E00 + 7 * i) for i in range(40))
