@@ -82,6 +82,19 @@ def test_clusters_of_separate_blobs(spark):
     assert got == {0: {*range(30), 900}, 30: set(range(30, 35))}
 
 
+def test_typical_members_are_the_nearest_to_all(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([c + 0.2 * rng.normal(size=(n, 64)) for c, n in zip(rng.normal(size=(2, 64)), (40, 12))])
+    x[5] = x[6]  # an entity with a copy counts twice
+    got = {r["cluster_key"]: r["typical"] for r in Clustering(spark.createDataFrame(_rows(x), SCHEMA), "id", "v").summary().collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for own in (np.arange(40), np.arange(40, 52)):
+        near = np.round(u[own] @ u[own].sum(0) / len(own), 6)
+        want = own[np.lexsort((own, -near))[:3]]
+        assert got[own[0]] == ",".join(map(str, want))
+        assert own[0] not in want  # the leader, the only typical one before
+
+
 def test_chain_is_joined_over_markov_cuts(spark):
     angle = np.arange(12) * np.pi / 9  # neighbours at cosine 0.94, the ends far apart
     x = np.zeros((12, 64))
