@@ -69,19 +69,27 @@ def footrule(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return met.groupBy("id").agg(F.sum(F.abs(ra - rb) / (F.least(ra, rb) + 1)).alias("distance"))
 
 
-def partner_ranks(pairs: DataFrame, vectors: DataFrame, candidates: int = 20, seed: str = "rank") -> DataFrame:
-    """``(year, person, rank)``: 1 + how many of so many random others are nearer to a person than the partner is.
+def partner_ranks(pairs: DataFrame, vectors: DataFrame, candidates: int = 100, seed: str = "rank") -> DataFrame:
+    """``(year, person, rank)``: 1 + how many of so many random others of the partner's gender are nearer to a person than the partner is.
 
-    ``pairs``: ``(year, person, partner)``; ``vectors``: ``(idx, id, vec)``, idx dense from 0. The others are the same number of draws
-    by hash for every pair, so pairs grow by a constant factor and nobody is compared with all.
+    ``pairs``: ``(year, person, partner)``; ``vectors``: ``(idx, id, gender, vec)``, idx dense from 0 in the order of gender and id. Draws are
+    by hash, with replacement, and pass over person and partner, so none is lost. Persons without a gender are one more gender. A
+    pair is left out if there is no other of the partner's gender. Pairs grow by a constant factor and nobody is compared with all.
     """
-    n = vectors.agg(F.count("*").alias("__n"))
-    v = vectors.select("id", "vec")
-    met = pairs.join(v.toDF("person", "pv"), "person").join(v.toDF("partner", "qv"), "partner").withColumn("own", cosine("pv", "qv"))
+    groups = vectors.groupBy(F.coalesce("gender", F.lit(0)).alias("__g")).agg(F.min("idx").alias("__from"), F.count("*").alias("__n"))
+    p, q = (vectors.select(F.col("id").alias(c), F.col("vec").alias(f"{c[0]}v_{c}"), F.col("idx").alias(f"__i_{c}"), F.coalesce("gender", F.lit(0)).alias(f"__g_{c}")) for c in ("person", "partner"))
+    met = pairs.join(p, "person").join(q, "partner").withColumn("own", F.round(cosine("pv_person", "pv_partner"), 9)).join(F.broadcast(groups), F.col("__g_partner") == F.col("__g"))
+    same = F.col("__g_person") == F.col("__g_partner")
+    rest = F.col("__n") - 1 - same.cast("int")
+    low = F.when(same, F.least("__i_person", "__i_partner")).otherwise(F.col("__i_partner"))
+    high = F.when(same, F.greatest("__i_person", "__i_partner"))
     key = F.concat_ws("-", "year", "person", "partner")
-    drawn = met.join(F.broadcast(n)).select("year", "person", "partner", "pv", "own", F.explode(F.transform(F.sequence(F.lit(1), F.lit(candidates)), lambda t: F.pmod(hash32(F.concat_ws("-", key, t), seed), F.col("__n")))).alias("idx"))
-    nearer = drawn.join(vectors.select("idx", F.col("id").alias("other"), F.col("vec").alias("ov")), "idx").filter("other != person AND other != partner")
-    counts = nearer.groupBy("year", "person", "partner").agg(F.sum((F.round(cosine("pv", "ov"), 9) > F.round(F.col("own"), 9)).cast("int")).alias("nearer"))
+    ready = met.filter(rest > 0).select("year", "person", "partner", F.col("pv_person").alias("pv"), "own", "__from", rest.alias("__rest"), low.alias("__low"), high.alias("__high"))
+    over = lambda x, skipped: x + F.coalesce((x >= F.col(skipped)).cast("int"), F.lit(0))
+    drawn = ready.select("year", "person", "partner", "pv", "own", "__low", "__high", F.explode(F.transform(F.sequence(F.lit(1), F.lit(candidates)), lambda t: F.col("__from") + F.pmod(hash32(F.concat_ws("-", key, t), seed), F.col("__rest")))).alias("x"))
+    placed = drawn.withColumn("x", over(F.col("x"), "__low")).select("year", "person", "partner", "pv", "own", over(F.col("x"), "__high").alias("idx"))
+    compared = placed.join(vectors.select("idx", F.col("vec").alias("ov")), "idx")
+    counts = compared.groupBy("year", "person", "partner").agg(F.sum((F.round(cosine("pv", "ov"), 9) > F.col("own")).cast("int")).alias("nearer"))
     return counts.select("year", "person", (F.col("nearer") + 1).alias("rank"))
 
 

@@ -164,7 +164,9 @@ def _unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def partner_rank(spark: SparkSession, d: str) -> DataFrame:
     pairs = _marriages(spark, d).filter("year IS NOT NULL").select("year", F.col("rinpersoon").alias("person"), "partner").filter("person != partner").distinct()
-    return ev.with_overall(ev.partner_ranks(pairs, _unit_vectors(spark, d)), "year", "rank").select("year", F.round("mean", 6).alias("mean_rank"), "n")
+    known = _unit_vectors(spark, d).drop("idx").join(_background(spark, d).select(F.col("rinpersoon").alias("id"), "gender"), "id", "left").withColumn("gender", F.coalesce("gender", F.lit(0)))
+    vectors = known.join(ranking.dense_index(known, "gender", "id"), ["gender", "id"])
+    return ev.with_overall(ev.partner_ranks(pairs, vectors), "year", "rank").select("year", F.round("mean", 6).alias("mean_rank"), "n")
 
 
 def partner_similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
