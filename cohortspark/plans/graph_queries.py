@@ -13,7 +13,9 @@ from ..operators.spells import years_covered
 from ..sources.tables import table
 
 LAYERS = ("family", "neighbour", "work")
-STEPS, STAY = 6, 0.8
+#: Elements of a walk in the queries, and the fewer that their SQL still has.
+STEPS, SQL_STEPS = 40, 6
+STAY = 0.8
 WEIGHTS = {"family": 0.6, "neighbour": 0.1, "work": 0.1}
 SALT_BUCKETS = 32
 
@@ -143,7 +145,7 @@ walk AS (SELECT node AS source, 0 AS step, NULL::VARCHAR AS layer, node FROM nl
   UNION ALL
   SELECT source, step, c.layer, around[({_H.format("source || '-' || step", seed + "-node")} % len(around) + 1)::BIGINT] FROM (
     SELECT source, step + 1 AS step, node, CASE WHEN layer IS NOT NULL AND list_contains(layers, layer) AND {_H.format(key, seed + "-stay")} / 4294967296.0 < {stay} THEN layer ELSE {drawn} END AS layer
-    FROM walk JOIN nl USING (node) WHERE step < {STEPS - 1}) c JOIN per ON per.node = c.node AND per.layer = c.layer)"""
+    FROM walk JOIN nl USING (node) WHERE step < {SQL_STEPS - 1}) c JOIN per ON per.node = c.node AND per.layer = c.layer)"""
 
 
 ORACLE = {
