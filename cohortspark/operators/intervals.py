@@ -2,8 +2,8 @@
 
 Day intervals are taken apart into canonical dyadic blocks (day numbers that share all but their last L bits).
 Blocks inside another block of the entity are removed, sibling pairs become their parent, and neighbouring
-blocks are joined to periods. The same reduction runs on every input batch before the shuffle, so what travels
-for an entity is bounded by the days it covers and not by its rows.
+blocks are joined to periods. The same reduction runs over all batches of a task before the shuffle, and again on
+salted parts of each entity, so what travels for an entity is bounded by the days it covers and not by its rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 BITS = 22
 OPEN_END = (1 << BITS) - 1
 EPOCH = "0001-01-01"
+#: Periods that a task holds, already reduced, before it lets them go.
+HELD_PERIODS = 1_000_000
+#: Parts of an entity that are reduced apart before its periods come together.
+SALTS = 32
 
 
 def dyadic_blocks(ent: np.ndarray, beg: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +107,21 @@ def _batch(ent: np.ndarray, beg: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
 
 
 def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side: each batch to its own periods."""
+    """All batches of a task to their periods. Rows wait until there are as many as periods held, so each is merged a few times at most."""
+    held, waiting, size = tuple(np.empty(0, np.int64) for _ in range(3)), [], 0
     for batch in batches:
         if batch.num_rows:
-            yield _batch(*merge_intervals(*_arrays(batch)))
+            waiting.append(_arrays(batch))
+            size += batch.num_rows
+        if size > max(len(held[0]), HELD_PERIODS // 8):
+            held = merge_intervals(*(np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)))
+            waiting, size = [], 0
+            if len(held[0]) > HELD_PERIODS:
+                yield _batch(*held)
+                held = tuple(x[:0] for x in held)
+    held = merge_intervals(*(np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)))
+    for a in range(0, len(held[0]), 100_000):
+        yield _batch(*(x[a : a + 100_000] for x in held))
 
 
 def _reduce_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +166,12 @@ def periods(spells: DataFrame, entity: str, beg: str, end: str) -> DataFrame:
 
     Both days belong to a spell; adjoining days join two spells. A null end means the spell still runs (``OPEN_END``).
     Rows without entity or begin, with an end before the begin or a day before 0001-01-01 are left out. Repeated
-    rows change nothing; an empty table gives an empty one; other columns are ignored.
+    rows change nothing; an empty table gives an empty one; other columns are ignored. Of an entity with any share of the rows
+    a task sends its periods once, and at most SALTS sets of them meet in one task.
     """
     small = _spells(spells, entity, beg, end).mapInArrow(_reduce_batches, SCHEMA)
-    placed = small.repartition("entity").sortWithinPartitions("entity")
+    salted = small.repartition("entity", F.pmod(F.spark_partition_id(), F.lit(SALTS))).mapInArrow(_reduce_batches, SCHEMA)
+    placed = salted.repartition("entity").sortWithinPartitions("entity")
     return placed.mapInArrow(_reduce_sorted, SCHEMA)
 
 
