@@ -49,16 +49,11 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return iv.periods(*_spells(spark, d)).select(F.col("entity").alias("RINPERSOON"), iv.day_text("beg").alias("period_beg"), end.alias("period_end"))
 
 
-#: The last 1 January that the snapshots reach.
-LAST_YEAR = 2100
-
-
 def _as_known(spark: SparkSession, d: str) -> DataFrame:
     day = F.datediff(F.make_date(F.col("year"), F.lit(1), F.lit(1)), F.lit("1970-01-01").cast("date"))
-    until = (LAST_YEAR - 1970) * 365 + 33
     marriages = table(spark, d, "person_marriages", "marriage_id", "rinpersoon", "year")
     versions = table(spark, d, "person_background", "background_id", "rinpersoon", "valid_from", "known_from")
-    return bitemporal.as_known(marriages, versions, "rinpersoon", day, "rinpersoon", "background_id", "valid_from", "known_from", until)
+    return bitemporal.as_known(marriages, versions, "rinpersoon", day, "rinpersoon", "background_id", "valid_from", "known_from")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ def test_against_brute_force(spark):
     events = [(i, rng.choice([1, 2, 3, 4, None]), None if i % 9 == 0 else 7300 + rng.randrange(9500), "x") for i in range(120)]
     v = spark.createDataFrame(versions, "vid long, p long, valid date, known date, period int")
     e = spark.createDataFrame(events, "eid long, p long, d int, state string")
-    got = {r["eid"]: r["as_known_id"] for r in as_known(e, v, "p", F.col("d"), "p", "vid", "valid", "known", 20000, period=700).collect()}
+    got = {r["eid"]: r["as_known_id"] for r in as_known(e, v, "p", F.col("d"), "p", "vid", "valid", "known", period=700).collect()}
     for eid, p, d, _ in events:
         best = None
         if p is not None and d is not None:
@@ -22,4 +22,4 @@ def test_against_brute_force(spark):
             best = max(usable)[2] if usable else None
         assert got[eid] == best, (eid, p, d)
     assert len(got) == len(events)
-    assert as_known(e, v.limit(0), "p", F.col("d"), "p", "vid", "valid", "known", 20000).filter("as_known_id is not null").count() == 0
+    assert as_known(e, v.limit(0), "p", F.col("d"), "p", "vid", "valid", "known").filter("as_known_id is not null").count() == 0
