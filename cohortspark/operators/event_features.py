@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Amounts that mean "missing".
 MISSING_AMOUNTS = (9999999999.0,)
+#: What is trimmed off codes: white space and the no-break space.
+BLANKS = " \t\n\x0b\x0c\r\xa0"
 #: Days that can be told apart, both ends included.
 DAY_RANGE = (0, 17999)
 #: Ages that are taken as real, both ends included.
@@ -35,7 +37,7 @@ def clean_events(
     its age is the largest plausible one, null if there is none. Amounts in ``missing`` count as 0, like nulls and NaN, but
     only after rows were compared. Other columns of the input are ignored; an empty table gives an empty one.
     """
-    normal = F.upper(F.trim(F.regexp_replace(F.col(code), r"[\s ]+", " ")))
+    normal = F.upper(F.btrim(F.col(code), F.lit(BLANKS)))
     years = F.col(age).cast("int")
     rows = events.select(
         F.col(entity).cast("long").alias("entity"),
