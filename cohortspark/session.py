@@ -34,7 +34,8 @@ def get_session(app: str = "cohortspark", cores: str | int = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is made.
+    Only where the master is local (tests, one machine) and none is named, a temporary folder is made; on a cluster
+    without one an error is raised, as executors could not read what the others write.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="cohortspark-")
     sc.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
