@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources.tables import table
 from . import leakage, packing, quantiles, splits
@@ -116,11 +116,26 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents", "doc_id", "text"))
 
 
+#: White space, as a character class of both engines.
+_SPACE = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what has to hold: documents with units, their characters other than white space, units that overlap or have white space at an end."""
+    units = sentences(table(spark, d, "documents", "doc_id", "text"))
+    solid = F.length(F.regexp_replace("sentence", _SPACE, ""))
+    loose = F.col("sentence").rlike(f"^{_SPACE}|{_SPACE}$")
+    before = F.lag("sent_end").over(W.partitionBy("doc_id").orderBy("sent_start"))
+    return units.select("doc_id", solid.alias("n"), loose.alias("loose"), (F.coalesce(before, F.lit(0)) > F.col("sent_start")).alias("overlap")).agg(
+        F.count_distinct("doc_id").alias("n_documents"), F.sum("n").alias("n_characters"), F.sum(F.col("loose").cast("long")).alias("n_loose"), F.sum(F.col("overlap").cast("long")).alias("n_overlaps")
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters,
-        p8_found, p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_sentences,
+        p8_found, p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_sentences, p10_coverage,
     )
 }
 
@@ -160,6 +175,9 @@ s AS MATERIALIZED (SELECT a.id AS q, b.id AS n FROM v a JOIN v b ON a.id <> b.id
 c AS (SELECT id AS a, id AS b FROM v UNION SELECT c.a, s.n FROM c JOIN s ON s.q = c.b),
 g AS (SELECT a AS rinpersoon, min(b) AS cluster_key FROM c GROUP BY 1)
 SELECT cluster_key, rinpersoon FROM g WHERE cluster_key IN (SELECT cluster_key FROM g GROUP BY 1 HAVING count(*) >= 3)""",
+    "p10_coverage": rf"""
+WITH s AS (SELECT doc_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT count(DISTINCT doc_id) AS n_documents, sum(n)::BIGINT AS n_characters, 0::BIGINT AS n_loose, 0::BIGINT AS n_overlaps FROM s WHERE n > 0""",
     "p8_found": """
 SELECT target_id, doc_id FROM documents, pack_targets WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > capacity""",
 }

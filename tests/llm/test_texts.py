@@ -6,6 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cohortspark.llm import leakage, packing
+from cohortspark.llm import sentences as sn
 from cohortspark.llm.sentences import sentences, split
 
 
@@ -172,3 +173,78 @@ def test_long_text_and_dirty_rows(spark):
     got = {r["doc_id"]: r["n"] for r in sentences(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 16000, 4: 4}
     assert sentences(df.limit(0)).count() == 0
+
+
+def _total(block, ends):
+    """The score of a segmentation by its definition, span by span."""
+    text, total, begin = block.text, 0.0, 0
+    marks = {block.after_closers(m.end()): (m.start(), m.group()) for m in reversed(list(sn._CANDIDATE.finditer(text)))}
+    for end in ends:
+        if end < len(text):
+            total += block.boundary(*marks[end], end)
+        first = begin + len(text[begin:end]) - len(text[begin:end].lstrip())
+        total += block.length(first, end)
+        total += sn.HALF * sum((begin <= b < end) != (begin <= e < end or e == end == len(text)) for b, e in block.outer)
+        begin = end
+    return total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["He", "no", "Dr", "z", "B", "ja", "5", "They left", ". ", ". ", ".", "? ", '"', '" ', "(", ") ", "“", "”", " ", "… ", "!) ", "x" * 500]), max_size=14))
+def test_search_is_exact(words):
+    text = "".join(words).strip()
+    if not text:
+        return
+    for last in (True, False):
+        block = sn._Block(text, last)
+        places = sorted({e for m in sn._CANDIDATE.finditer(text) if (e := block.after_closers(m.end())) < len(text)})[:9]
+        if len({block.after_closers(m.end()) for m in sn._CANDIDATE.finditer(text)} - {len(text)}) > 9:
+            return
+        best = max(_total(block, [p for i, p in enumerate(places) if n >> i & 1] + [len(text)]) for n in range(1 << len(places)))
+        assert _total(block, [e for _, e in block.sentences()]) == best
+
+
+def _accepted(text):
+    """Every boundary taken that its own score accepts: what a search without span scores would do."""
+    block, out = sn._Block(text, True), []
+    for m in sn._CANDIDATE.finditer(text):
+        end = block.after_closers(m.end())
+        if end < len(text) and block.boundary(m.start(), m.group(), end) > 0:
+            out.append(end)
+    return [text[a:b].strip() for a, b in zip([0, *out], [*out, len(text)])]
+
+
+def test_search_finds_what_single_boundaries_miss():
+    cases = [
+        ['He wrote: "It is done. Nobody came. We left."', "It rained."],
+        ["The list (see p. 3. Also p. 4. It is long.) was kept.", "Nobody read it."],
+        ["“Es ist fertig. Niemand kam.” so stand es dort.", "Dann schlief er."],
+        ["「仕事は終わった。次はない。」と彼は言った。", "雨が降った。"],
+        # a pair of marks that spans many sentences for want of others in between doesn't hold them together
+        [f"Mark {i} stands here{' “open' if i == 0 else ''}{' close”' if i == 19 else ''}." for i in range(20)],
+    ]
+    for want in cases:
+        text = ("" if "。" in want[0] else " ").join(want)
+        assert _units(text) == want
+    assert sum(_accepted(("" if "。" in w[0] else " ").join(w)) != w for w in cases[:4]) == 4
+    held = sn._Block(" ".join(cases[4]), True)
+    assert len(held.outer) == 1 and held.outer[0][1] - held.outer[0][0] > 300  # a rule that passages are never cut would give one unit
+    assert _units("The answer was no. Then they left. See no. 5 of it.") == ["The answer was no.", "Then they left.", "See no. 5 of it."]
+
+
+def test_time_grows_with_the_text_only():
+    import time
+
+    for piece in ("( a ", '"Yes. No." ', "a. ", "(a. ", "( a ] ", "“A. ", "a."):
+        spent = []
+        for n in (5000, 40000):
+            began = time.perf_counter()
+            split(piece * n)
+            spent.append(time.perf_counter() - began)
+        assert spent[1] < 8 * max(spent[0], 0.02) * 3, (piece, spent)
+
+
+def test_units_of_white_space_and_none(spark):
+    df = spark.createDataFrame([(None, "One. Two."), (5, "\u3000 \n\n"), (6, "a" * 100_000)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["sent_start"], r["sent_end"]) for r in sentences(df).collect())
+    assert got == [(0, 0, 4), (0, 5, 9), (6, 0, 100_000)]
