@@ -73,6 +73,22 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).summary()
 
 
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what has to hold: persons in clusters, those in more than one, clusters that reach beyond a group of :func:`p4_found`, typical persons outside their cluster, sizes summed."""
+    c = _clusters(spark, d)
+    members = c.members.select("id", "cluster")
+    groups = c.joined(least=1).toDF("cluster_key", "id")
+    within = members.join(groups, "id").groupBy("cluster").agg(F.count_distinct("cluster_key").alias("n")).filter("n > 1").agg(F.count("*").alias("n_torn"))
+    persons = members.groupBy("id").agg(F.count_distinct("cluster").alias("n")).agg(F.count("*").alias("n_persons"), F.sum((F.col("n") > 1).cast("long")).alias("n_repeated"))
+    summary = c.summary()
+    sizes = summary.agg(F.sum("size").alias("n_members"))
+    named = summary.select("cluster_key", F.explode(F.split("typical", ",")).alias("id"))
+    own = members.groupBy("cluster").agg(F.min("id").alias("cluster_key")).join(members, "cluster").select("cluster_key", F.col("id").cast("string").alias("id"))
+    strange = named.join(own, ["cluster_key", "id"], "left_anti").agg(F.count("*").alias("n_strange"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(persons).join(one(within), "k").join(one(strange), "k").join(one(sizes), "k").drop("k")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sized = table(spark, d, "documents", "doc_id", "text").select("doc_id", packing.byt5_tokens("text").alias("size"))
     return packing.containers(sized, table(spark, d, "pack_targets"))
@@ -134,7 +150,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters,
+        p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters, p4_invariants,
         p8_found, p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_sentences, p10_coverage,
     )
 }
@@ -178,6 +194,9 @@ SELECT cluster_key, rinpersoon FROM g WHERE cluster_key IN (SELECT cluster_key F
     "p10_coverage": rf"""
 WITH s AS (SELECT doc_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS n FROM documents WHERE text IS NOT NULL)
 SELECT count(DISTINCT doc_id) AS n_documents, sum(n)::BIGINT AS n_characters, 0::BIGINT AS n_loose, 0::BIGINT AS n_overlaps FROM s WHERE n > 0""",
+    "p4_invariants": """
+WITH v AS (SELECT DISTINCT rinpersoon AS id FROM person_embeddings WHERE rinpersoon IS NOT NULL AND """ + _SOUND.format("mean_emb") + """)
+SELECT count(*) AS n_persons, 0::BIGINT AS n_repeated, 0::BIGINT AS n_torn, 0::BIGINT AS n_strange, count(*) AS n_members FROM v""",
     "p8_found": """
 SELECT target_id, doc_id FROM documents, pack_targets WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > capacity""",
 }

@@ -18,34 +18,45 @@ from ..session import Stage
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 #: Rounds after which propagation counts as failed. With jumps a chain of any real length needs about its logarithm.
 MAX_ROUNDS = 60
+#: Records of an entity beyond which its ties are cut into parts.
+HOT = 1_000_000
 #: Counts up to this are told apart exactly when groups are classed, larger ones in steps of 1/16.
 EXACT_COUNT = 32
 #: Parts into which the groups of a class are cut to be ranked.
 SALTS = 64
 
 
-def components(incidence: DataFrame) -> DataFrame:
+def components(incidence: DataFrame, hot: int = HOT) -> DataFrame:
     """``(entity, label)`` from ``(record, entity)``: the smallest entity tied to each, directly or through others.
 
-    Entities are longs. Rows with a null on either side are left out, repeated rows change nothing, an empty
-    table gives an empty one. A record with a single entity ties nothing but the entity has a row. Labels are
-    minima, so they are combined before they travel, however many records an entity has.
+    Entities are longs, records of any type that compares. Rows with a null on either side are left out, repeated rows change
+    nothing, an empty table gives an empty one. A record with a single entity ties nothing but the entity has a row. Labels are
+    minima, so they are combined before they travel, however many records an entity has; the ties of an entity with more than
+    ``hot`` records are cut into parts that each meet a copy of its label.
     """
-    ties = Stage(incidence.select("record", "entity").filter("record is not null and entity is not null").distinct(), "ties")
-    held = Stage(ties.df.select("entity").distinct().withColumn("label", F.col("entity")), "labels")
-    labels = held.df
+    given = incidence.select("record", "entity").filter("record is not null and entity is not null").distinct()
+    degrees = Stage(given, "ties")
+    # one row of this list for every `hot` ties at most
+    hubs = F.broadcast(degrees.df.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("entity", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    salted = degrees.df.join(hubs, "entity", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    ties = salted.select("record", "entity", F.pmod(F.xxhash64("record"), "parts").cast("int").alias("part"))
+    entities = salted.groupBy("entity").agg(F.first("parts").alias("parts"))
+    held = Stage(entities.select("entity", "parts", F.col("entity").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
-        by_record = ties.df.join(labels, "entity").groupBy("record").agg(F.min("label").alias("label"))
-        heard = ties.df.join(by_record, "record").groupBy("entity").agg(F.min("label").alias("heard"))
+        labels = held.df.select("entity", "parts", "label")
+        copies = labels.select("entity", "parts", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = ties.join(copies, ["entity", "part"])
+        by_record = met.groupBy("record").agg(F.min("label").alias("least"))
+        heard = met.join(by_record, "record").groupBy("entity").agg(F.min("least").alias("heard"), F.first("label").alias("label"), F.first("parts").alias("parts"))
         jump = labels.select(F.col("entity").alias("at"), F.col("label").alias("further"))
         # the label of the label heard belongs to the same component, and is often a much smaller one
-        moved = heard.join(jump, F.col("heard") == F.col("at"), "left").select("entity", F.least("heard", "further").alias("new"))
-        new = Stage(labels.join(moved, "entity").select("entity", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels")
+        moved = heard.join(jump, F.col("heard") == F.col("at"), "left").withColumn("new", F.least("heard", "further"))
+        new = Stage(moved.select("entity", "parts", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels")
         held.release()
-        held, labels = new, new.df.select("entity", "label")
+        held = new
         if new.df.filter("moved").isEmpty():
-            ties.release()
-            return labels
+            degrees.release()
+            return new.df.select("entity", "label")
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
 
 
@@ -126,7 +137,7 @@ def tied_groups(entities: DataFrame, ties: DataFrame) -> DataFrame:
     known = entities.filter("entity is not null").distinct()
     real = ties.filter("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = real.join(known.select(F.col("entity").alias("a")), "a", "left_semi").join(known.select(F.col("entity").alias("b")), "b", "left_semi")
-    incidence = both.select(F.xxhash64("a", "b").alias("record"), F.explode(F.array("a", "b")).alias("entity"))
+    incidence = both.select(F.struct("a", "b").alias("record"), F.explode(F.array("a", "b")).alias("entity"))
     found = components(incidence)
     return Stage(known.join(found, "entity", "left").select("entity", F.coalesce("label", "entity").alias("label")), "groups").df
 

@@ -128,8 +128,8 @@ def fit_tree(reps: DataFrame, dim: int = 64, fit_rows: int = FIT_ROWS, part_rows
 CELL_SCHEMA = "part int, ci int, qi int, role int, id long, tag long, vec binary"
 
 
-def to_cells(rows: DataFrame, tree: RoutingTree, total: int, probes: int, dim: int = 64, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(part, ci, qi, role, id, tag, vec)`` from ``(id, tag, vec, is_index, is_query)``.
+def to_cells(rows: DataFrame, tree: RoutingTree, total: int, probes: int, dim: int = 64, cell_rows: int = CELL_ROWS, extra: int = 0) -> DataFrame:
+    """``(part, ci, qi, role, id, tag, vec)`` from ``(id, tag, vec, is_index, is_query)``. ``extra``: numbers that travel behind each vector.
 
     Index rows go to their most probable part, queries to their ``probes`` most probable ones. A part of about
     n blocks of ``cell_rows`` becomes n x n cells: an index row is in one row of that grid, a query in one column.
@@ -141,9 +141,9 @@ def to_cells(rows: DataFrame, tree: RoutingTree, total: int, probes: int, dim: i
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = matrix(batch.column(2), dim)
+            x = matrix(batch.column(2), dim + extra)
             index, query = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), bool) for k in (3, 4))
-            parts = tree.route(x, probes)
+            parts = tree.route(x[:, :dim], probes)
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             own = (mixed % blocks[parts[:, 0]].astype(np.uint64)).astype(np.int32)
             out: list[tuple[np.ndarray, ...]] = []

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cohortspark.llm import learned_index as li
 from cohortspark.llm.markov import Clustering
@@ -103,6 +104,65 @@ def test_chain_is_joined_over_markov_cuts(spark):
     assert len(got) == 12 and {r["cluster_key"] for r in got} == {0}
 
 
+def test_links_between_members_that_lead_nothing(spark):
+    """Unit vectors in a plane; those at most 36.87 degrees apart are linked, so all six are one group, whichever become leaders."""
+    degrees = np.array([0, 1, 25, 61, 85, 86])
+    orders = [(0, 1, 2, 3, 4, 5), (1, 0, 5, 4, 3, 2), (3, 5, 1, 4, 0, 2)]
+    x = np.zeros((18, 64))
+    for k, order in enumerate(orders):  # three groups of six in planes of their own
+        a = np.deg2rad(degrees[list(order)])
+        x[6 * k : 6 * k + 6, 2 * k], x[6 * k : 6 * k + 6, 2 * k + 1] = np.cos(a), np.sin(a)
+    got = {}
+    for r in Clustering(spark.createDataFrame(_rows(x), SCHEMA), "id", "v").joined(3).collect():
+        got.setdefault(r["cluster_key"], set()).add(r["id"])
+    assert got == {6 * k: set(range(6 * k, 6 * k + 6)) for k in range(3)}
+
+
+def test_members_are_compared_in_blocks(spark):
+    from cohortspark.llm import markov
+
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(40, 64)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u[39] = u[3]
+    rows = [(i, i // 20 * 20, bytes(np.r_[u[i], 1].astype(np.float32).tobytes())) for i in range(40)]
+    gathered = spark.createDataFrame(rows, "id long, leader long, vec binary")
+    pairs = spark.createDataFrame([(0, 20)], "a long, b long")
+    (got,) = markov.member_links(pairs, gathered, block_rows=6).collect()
+    s = u[:20] @ u[20:].T
+    assert (got["a"], got["b"], got["members"]) == (0, 20, int((s >= 0.8).sum())) and abs(got["strongest"] - 1) < 1e-5
+
+
+def test_random_groups_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 64))  # a sphere in three dimensions: long thin groups
+    x = x[np.r_[0:60]]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(60)
+    linked = u @ u.T >= 0.8
+    for _ in range(60):
+        label = np.array([label[linked[i]].min() for i in range(60)])
+    want = {(int(k), i) for i, k in enumerate(label) if (label == k).sum() >= 3}
+    got = {(r["cluster_key"], r["id"]) for r in Clustering(spark.createDataFrame(_rows(x), SCHEMA), "id", "v").joined(3).collect()}
+    assert got == want
+
+
+def test_attractor_rows_define_clusters(spark):
+    from cohortspark.llm import markov
+
+    # two triangles joined by one weak link: flow separates them
+    edges = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0), (5, 6, 1.0), (4, 6, 1.0), (3, 4, 0.2)]
+    links = spark.createDataFrame(edges, "a long, b long, weight double")
+    comp = spark.createDataFrame([(i, 1) for i in range(1, 7)], "leader long, comp long")
+    flow = markov.markov_flow(links, comp)
+    assert {(r["leader"], r["cluster"]) for r in markov.attractor_clusters(flow).collect()} in (
+        {(1, a), (2, a), (3, a), (4, b), (5, b), (6, b)} for a in (1, 2, 3) for b in (4, 5, 6)
+    )
+    assert all(abs(r["s"] - 1) < 1e-9 for r in flow.groupBy("j").agg({"w": "sum"}).toDF("j", "s").collect())
+    with pytest.raises(RuntimeError):
+        markov.markov_flow(links, comp, max_rounds=1)
+
+
 def test_empty_clustering(spark):
     c = Clustering(spark.createDataFrame([], SCHEMA), "id", "v")
     assert c.summary().count() == 0 and c.joined().count() == 0
