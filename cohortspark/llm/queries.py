@@ -155,6 +155,28 @@ QUERIES = {
     )
 }
 
+def _folded(column: str) -> str:
+    """SQL for :func:`leakage.plain`, from the Unicode tables: characters that fold to one other, to none, and (Latin, signs, ligatures) to several."""
+    one, none, several = [], [], []
+    for code in range(0x80, 0x10000):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables fold to letters of their own, each to others; surrogates
+            continue
+        c = chr(code)
+        to = leakage.plain(c)
+        if len(to) == 1 and to != c and to.isalnum():
+            one.append((c, to))
+        elif not to:
+            none.append(c)
+        elif len(to) > 1 and (code < 0x250 or 0x1E00 <= code < 0x1F00 or 0x2000 <= code < 0x2150 or 0xFB00 <= code < 0xFB07) and to.isalnum():
+            several.append((c, to))
+    text = f"lower({column})"
+    for c, to in several:
+        text = f"replace({text}, '{c}', '{to}')"
+    return f"translate({text}, '{''.join(c for c, _ in one)}{''.join(none)}', '{''.join(t for _, t in one)}')"
+
+
+_LISTS = """regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+') AS words"""
+
 _QS = ", ".join(map(str, quantiles.PERCENTILES))
 
 _SOUND = "len({0}) = 64 AND len(list_filter({0}, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(list_filter({0}, lambda e: e <> 0)) > 0"
@@ -197,6 +219,14 @@ SELECT count(DISTINCT doc_id) AS n_documents, sum(n)::BIGINT AS n_characters, 0:
     "p4_invariants": """
 WITH v AS (SELECT DISTINCT rinpersoon AS id FROM person_embeddings WHERE rinpersoon IS NOT NULL AND """ + _SOUND.format("mean_emb") + """)
 SELECT count(*) AS n_persons, 0::BIGINT AS n_repeated, 0::BIGINT AS n_torn, 0::BIGINT AS n_strange, count(*) AS n_members FROM v""",
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, {_LISTS.format(_folded("text"))} FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, coalesce(lower(lang) = 'zh', false) AS letters, {_LISTS.format(_folded("text"))} FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT item_id, unnest(list_transform(range(1, len(words) - 10), lambda k: array_to_string(words[k:k + 11], ' '))) AS x FROM i WHERE NOT letters),
+l AS (SELECT item_id, unnest(list_transform(range(1, length(array_to_string(words, '')) - 18), lambda k: substr(array_to_string(words, ''), k, 20))) AS x FROM i WHERE letters),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 10), lambda k: array_to_string(words[k:k + 11], ' '))) AS x FROM d),
+dl AS (SELECT doc_id, unnest(list_transform(range(1, length(array_to_string(words, '')) - 18), lambda k: substr(array_to_string(words, ''), k, 20))) AS x FROM d)
+SELECT doc_id, item_id FROM dw JOIN w USING (x) UNION SELECT doc_id, item_id FROM dl JOIN l USING (x)""",
     "p8_found": """
 SELECT target_id, doc_id FROM documents, pack_targets WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > capacity""",
 }

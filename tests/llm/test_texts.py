@@ -133,6 +133,29 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+def test_letters_are_sought_in_texts_without_han(spark):
+    latin = "q7w8e9r0t1y2u3i4o5p6a7s8d9f0g1h2j3k4"
+    docs = spark.createDataFrame([(1, f"before {latin} after"), (2, "nothing of it here"), (3, " ".join(latin[:20]))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, latin[:18] + "文" + latin[18:], "zh"), (8, "甲" * 30, "zh")], "item_id long, text string, lang string")
+    got = {(r["doc_id"], r["item_id"]): r["exact_windows"] for r in leakage.leaks(docs, items).collect()}
+    assert set(got) == {(1, 9), (3, 9)}
+
+
+def test_a_passage_in_every_document_and_many_items(spark):
+    common = " ".join(f"w{k}" for k in range(14))
+    docs = spark.createDataFrame([(i, f"d{i} {common} e{i}") for i in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{common} x{i}", "en") for i in range(30)], "item_id long, text string, lang string")
+    got = leakage.leaks(docs, items, exact=True)
+    assert got.count() == 12_000 and got.filter("exact_windows = 3").count() == 12_000
+
+
+def test_key_map_holds_every_key_whatever_its_size(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MAP_BITS", 10)
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    held = leakage._key_map(spark.createDataFrame([(int(k.view(np.int64)),) for k in keys], "key long"))
+    assert leakage._held(held, keys).all() and not leakage._held(held, keys ^ np.uint64(0x5555555555555555)).all()
+
+
 def _units(text):
     return [text[a:b] for a, b in split(text)]
 
