@@ -89,25 +89,38 @@ def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
     return one(persons).join(one(within), "k").join(one(strange), "k").join(one(sizes), "k").drop("k")
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str) -> packing.Packing:
     sized = table(spark, d, "documents", "doc_id", "text").select("doc_id", packing.byt5_tokens("text").alias("size"))
-    return packing.containers(sized, table(spark, d, "pack_targets"))
+    return packing.Packing(sized, table(spark, d, "pack_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.cut_texts(_packed(spark, d))
+    return packing.cut_texts(_packed(spark, d).containers())
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Container, position and extent of every piece of every text."""
-    return _packed(spark, d).drop("capacity")
+    return _packed(spark, d).containers().drop("capacity")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """For each target the tokens and pieces packed; with the containers used and the fewest possible."""
+    """For each target the tokens and pieces packed; with the containers used and the fewest there could be."""
     packed = _packed(spark, d)
-    used = packed.groupBy("target_id", "capacity").agg(F.sum("piece_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.count_distinct("container_id").alias("n_containers"))
-    return used.withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity")))
+    used = packed.containers().groupBy("target_id", "capacity").agg(F.sum("piece_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    return used.join(packed.report(), "target_id")
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each target what has to hold: tokens, pieces, containers over capacity, pieces that don't follow the one before, containers beyond 1 % (and one) above the bound."""
+    packed = _packed(spark, d)
+    pieces = packed.containers()
+    in_container = W.partitionBy("target_id", "container_id").orderBy("position")
+    before = F.coalesce(F.lag(F.col("token_offset") + F.col("piece_tokens")).over(in_container), F.lit(0))
+    number = F.row_number().over(in_container) - 1
+    placed = pieces.withColumns({"wrong": ((before != F.col("token_offset")) | (number != F.col("position"))).cast("long"), "over": (F.col("token_offset") + F.col("piece_tokens") > F.col("capacity")).cast("long")})
+    sums = placed.groupBy("target_id").agg(F.sum("piece_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.sum("over").alias("n_over"), F.sum("wrong").alias("n_misplaced"))
+    beyond = F.greatest(F.col("n_containers") - F.floor(F.col("least_containers") * 1.01) - 1, F.lit(0)).cast("long")
+    return sums.join(packed.report().select("target_id", beyond.alias("n_beyond")), "target_id")
 
 
 def _leaks(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
@@ -151,7 +164,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters, p4_invariants,
-        p8_found, p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_sentences, p10_coverage,
+        p8_found, p8_containers, p8_fill, p8_invariants, p9_found, p9_leaks, p10_found, p10_sentences, p10_coverage,
     )
 }
 
@@ -227,6 +240,10 @@ l AS (SELECT item_id, unnest(list_transform(range(1, length(array_to_string(word
 dw AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 10), lambda k: array_to_string(words[k:k + 11], ' '))) AS x FROM d),
 dl AS (SELECT doc_id, unnest(list_transform(range(1, length(array_to_string(words, '')) - 18), lambda k: substr(array_to_string(words, ''), k, 20))) AS x FROM d)
 SELECT doc_id, item_id FROM dw JOIN w USING (x) UNION SELECT doc_id, item_id FROM dl JOIN l USING (x)""",
+    "p8_invariants": """
+SELECT target_id, sum(octet_length(encode(text)) + 1)::BIGINT AS n_tokens, sum(octet_length(encode(text)) // capacity + 1)::BIGINT AS n_pieces,
+       0::BIGINT AS n_over, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_beyond
+FROM documents, pack_targets WHERE text IS NOT NULL GROUP BY 1""",
     "p8_found": """
 SELECT target_id, doc_id FROM documents, pack_targets WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > capacity""",
 }

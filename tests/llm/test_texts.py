@@ -13,13 +13,49 @@ from cohortspark.llm.sentences import sentences, split
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=12))
 def test_packing_uses_every_item_and_no_more_room(histogram):
-    plan = packing.pack(histogram, 60)
-    used = Counter()
-    for sizes, times in plan:
-        assert sum(sizes) <= 60
-        for s in sizes:
-            used[s] += times
-    assert used == Counter(histogram)
+    plan, bound = packing.pack(histogram, 60)
+    for fillings in (plan, packing.best_fit(histogram, 60), packing.complete_each(histogram, 60)):
+        used = Counter()
+        for sizes, times in fillings:
+            assert sum(sizes) <= 60 and times > 0
+            for s in sizes:
+                used[s] += times
+        assert used == Counter(histogram)
+    assert packing.lower_bound(histogram, 60) <= bound <= sum(times for _, times in plan)
+
+
+def _fewest(items, capacity):
+    """Brute force: the least number of containers for a few items."""
+    states = {0: (0, capacity)}  # items packed -> (containers, fill of the last one), the best of each set
+    full = (1 << len(items)) - 1
+    order = sorted(range(full + 1), key=int.bit_count)
+    best = {0: (0, capacity)}
+    for done in order:
+        n, fill = best[done]
+        for i, s in enumerate(items):
+            if not done >> i & 1:
+                new = (n, fill + s) if fill + s <= capacity else (n + 1, s)
+                if new < best.get(done | 1 << i, (99, 0)):
+                    best[done | 1 << i] = new
+    return best[full][0] if states else 0
+
+
+def test_search_is_optimal_on_small_instances():
+    rng, better = random.Random(6), 0
+    for k in range(250):
+        items = [rng.randint(12, 60) if k % 2 else rng.randint(3, 50) for _ in range(rng.randint(1, 11))]
+        plan, bound = packing.pack(Counter(items), 60 if k % 2 == 0 else 100, search=10**6)
+        used = sum(times for _, times in plan)
+        assert used == bound == _fewest(items, 60 if k % 2 == 0 else 100), items
+        better += used < sum(times for _, times in packing.best_fit(Counter(items), 60 if k % 2 == 0 else 100))
+    assert better > 0  # the search earns containers over its first incumbent
+
+
+def test_gap_is_reported_where_the_search_ends_early():
+    rng = random.Random(1)
+    items = Counter(rng.randint(200, 400) for _ in range(300))
+    plan, bound = packing.pack(items, 1000, search=50)
+    assert bound <= sum(times for _, times in plan) <= bound * 1.2
 
 
 def test_completion_is_the_best_subset():
@@ -37,7 +73,7 @@ def test_containers(spark):
     texts = [(i, n, "x") for i, n in enumerate([1] * 1500 + [7, 7, 7, 25, 20, 10, 3])] + [(9000, None, "x"), (None, 4, "x"), (1, 1, "x")]
     df = spark.createDataFrame(texts, "doc_id long, size int, tokens string")
     targets = spark.createDataFrame([(1, "a", 10), (2, "b", 1000), (3, "c", None)], "target_id long, name string, capacity int")
-    got = packing.containers(df, targets).toPandas()
+    got = packing.Packing(df, targets).containers().toPandas()
     for (t, _), part in got.groupby(["target_id", "container_id"]):
         part = part.sort_values("position")
         assert part.piece_tokens.sum() <= {1: 10, 2: 1000}[t]
@@ -45,8 +81,8 @@ def test_containers(spark):
         assert part.token_offset.tolist() == [0, *np.cumsum(part.piece_tokens)[:-1]]
     assert got[got.target_id == 2].shape[0] == len(texts) - 1
     assert got[(got.target_id == 1) & (got.doc_id == 1503)].piece_tokens.sum() == 25
-    assert {tuple(r) for r in packing.cut_texts(packing.containers(df, targets)).collect()} == {(1, 1503), (1, 1504)}
-    assert packing.containers(df.limit(0), targets).count() == 0 and packing.containers(df, targets.limit(0)).count() == 0
+    assert {tuple(r) for r in packing.cut_texts(packing.Packing(df, targets).containers()).collect()} == {(1, 1503), (1, 1504)}
+    assert packing.Packing(df.limit(0), targets).containers().count() == 0 and packing.Packing(df, targets.limit(0)).containers().count() == 0
 
 
 def _edit(a, b):
