@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Permitted rank error as a share of the amounts summarised.
@@ -22,9 +23,10 @@ MISSING = (9999999999.0, 8888888888.0)
 PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Summaries of a key that a task holds before it merges them.
 FAN_IN = 32
-#: Amounts a task holds before it thins them.
+#: Amounts a task holds before it summarises them.
 BUFFER = 1_000_000
 
+SUMMARY = ("value", "below", "least", "most", "n")
 _FIELDS = "value array<double>, below array<long>, least array<long>, most array<long>, n long"
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
 
@@ -93,31 +95,58 @@ def _summary(row) -> Summary:
     return np.asarray(row.value, np.float64), *(np.asarray(x, np.int64) for x in (row.below, row.least, row.most)), int(row.n)  # type: ignore[return-value]
 
 
-def _leaf(keys: list[str], eps: float):
-    """Map-side: one thinned summary for each key that a partition holds."""
-    names = [*keys, "value", "below", "least", "most", "n"]
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[np.ndarray]] = {}
-        done: dict[tuple, Summary] = {}
-        count = 0
 
-        def settle() -> None:
-            for key, arrays in held.items():
-                new = exact(np.concatenate(arrays))
-                done[key] = thin(merge([done[key], new]) if key in done else new, eps)
-            held.clear()
+def _leaf(keys: list[str], eps: float):
+    """Map-side: one thinned summary for each key of every BUFFER amounts that a partition holds.
 
-        for pdf in batches:
-            for key, values in pdf.groupby(keys, dropna=False)["amount"]:
-                held.setdefault(tuple(key), []).append(values.to_numpy())
-            count += len(pdf)
+    All keys are summarised at once by one sort; only those with amounts enough to be thinned are taken up one by one.
+    """
+
+    def summarise(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes = np.zeros(len(rows), np.int64)
+        for k in keys:
+            own, _ = pd.factorize(rows[k].to_pandas(), use_na_sentinel=False)
+            codes = codes * (int(own.max()) + 1) + own
+        amount = rows["amount"].to_numpy()
+        order = np.lexsort((amount, codes))
+        c, v = codes[order], amount[order]
+        new_key = np.r_[True, c[1:] != c[:-1]]
+        new = new_key | np.r_[True, v[1:] != v[:-1]]
+        begin = np.flatnonzero(new)  # where a value of a key begins
+        key_of = np.cumsum(new_key)[begin] - 1
+        key_at = np.flatnonzero(new_key)
+        n = np.diff(np.r_[key_at, len(c)])
+        below = begin - key_at[key_of]
+        upto = np.r_[begin[1:], len(c)] - key_at[key_of]
+        value, offsets = v[begin], np.searchsorted(key_of, np.arange(len(key_at) + 1))
+        large = 2 * eps * n >= 1
+        first = rows.take(pa.array(order[key_at])).select(keys)
+        small = np.flatnonzero(~large)
+        if len(small):
+            keep = ~large[key_of]
+            ends = np.r_[0, np.cumsum(np.diff(offsets)[small])]
+            parts = [_lists(ends, x[keep], t) for x, t in ((value, pa.float64()), (below, pa.int64()), (upto, pa.int64()), (upto, pa.int64()))]
+            yield from pa.table([*first.take(pa.array(small)).columns, *parts, pa.array(n[small], pa.int64())], names=[*keys, *SUMMARY]).to_batches(max_chunksize=10_000)
+        for k in np.flatnonzero(large):
+            cut = slice(offsets[k], offsets[k + 1])
+            s = thin((value[cut], below[cut], upto[cut], upto[cut], int(n[k])), eps)
+            parts = [_lists(np.array([0, len(x)]), x, t) for x, t in zip(s[:4], (pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield from pa.table([*first.slice(k, 1).columns, *parts, pa.array([s[4]], pa.int64())], names=[*keys, *SUMMARY]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
             if count >= BUFFER:
-                settle()
-                count = 0
-        settle()
-        if done:
-            yield pd.DataFrame([[*key, *_row(s)] for key, s in done.items()], columns=names)
+                yield from summarise(pa.Table.from_batches(held))
+                held, count = [], 0
+        if held:
+            yield from summarise(pa.Table.from_batches(held))
 
     return run
 
@@ -134,16 +163,33 @@ def _rolled_up(df: DataFrame, keys: list[str], types: str, eps: float | None, si
             taken = [s for s, sign in parts if sign < 0]
             return merge(added + taken, [1] * len(added) + [-1] * len(taken)) if len(parts) > 1 or taken else parts[0][0]
 
+        alone: dict[tuple, tuple] = {}  # keys with one summary so far, which may be all there is: passed on as it came
+
+        def add(key: tuple, row: tuple) -> None:
+            parts = held.setdefault(key, [])
+            parts.append((_summary(row), row.sign if signed else 1))
+            if len(parts) >= FAN_IN:  # those to be taken away are kept apart until all are there
+                for sign in (1, -1):
+                    if len(same := [s for s, x in parts if x == sign]) >= FAN_IN // 2:
+                        parts[:] = [(merge(same), sign), *(x for x in parts if x[1] != sign)]
+
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                parts = held.setdefault(tuple(getattr(row, k) for k in keys), [])
-                parts.append((_summary(row), row.sign if signed else 1))
-                if len(parts) >= FAN_IN:  # those to be taken away are kept apart until all are there
-                    for sign in (1, -1):
-                        if len(same := [s for s, x in parts if x == sign]) >= FAN_IN // 2:
-                            parts[:] = [(merge(same), sign), *(x for x in parts if x[1] != sign)]
-        if held:
-            rows = [[*key, *_row(thin(s, eps) if eps else s)] for key, s in ((k, one(p)) for k, p in held.items())]
+            for key, row in zip(zip(*(pdf[k] for k in keys)), pdf.itertuples(index=False)):
+                if key in held:
+                    add(key, row)
+                elif key in alone:
+                    add(key, alone.pop(key))
+                    add(key, row)
+                else:
+                    alone[key] = row
+        rows = []
+        for key, row in alone.items():
+            if (signed and row.sign < 0) or (eps and 2 * eps * row.n >= 1 and len(row.value) >= 3):
+                add(key, row)
+            else:
+                rows.append([*key, row.value, row.below, row.least, row.most, row.n])
+        rows += [[*key, *_row(thin(s, eps) if eps else s)] for key, s in ((k, one(p)) for k, p in held.items())]
+        if rows:
             yield pd.DataFrame(rows, columns=names)
 
     return df.repartition(*keys).mapInPandas(run, f"{types}, {_FIELDS}")
@@ -177,7 +223,7 @@ def daily_summaries(changes: DataFrame, eps: float = EPS) -> DataFrame:
     its own summaries, so of a group of any size only those travel.
     """
     keys = ["grp", "day", "sign"]
-    leaves = changes.mapInPandas(_leaf(keys, eps / 3), f"grp int, day date, sign int, {_FIELDS}")
+    leaves = changes.select(*keys, "amount").mapInArrow(_leaf(keys, eps / 3), f"grp int, day date, sign int, {_FIELDS}")
     spread = leaves.withColumn("bucket", F.spark_partition_id() % 64)
     first = _rolled_up(spread, ["bucket", *keys], "bucket int, grp int, day date, sign int", eps / 3)
     return _rolled_up(first, keys, "grp int, day date, sign int", 2 * eps / 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import Stage
 from ..sources.tables import table
 from . import leakage, packing, quantiles, splits
 from .markov import Clustering
@@ -17,6 +18,23 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.group_percentiles(income, "rinpersoon", "year", "income", "loaded_at").withColumnRenamed("grp", "year")
 
 
+def p1_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile at a permitted error of 1 %, at which every year's summaries are thinned, has a true rank within its own bound, and the bound within the error."""
+    eps = 0.01
+    income = table(spark, d, "person_income", "rinpersoon", "year", "income", "loaded_at")
+    changes = Stage(quantiles.in_force(income, "rinpersoon", "year", "income", "loaded_at"), "changes").df
+    told = quantiles.percentiles(quantiles.combine(quantiles.daily_summaries(changes, eps), eps))
+    asked = told.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("percentile", "amount", "n", "max_rank_error"))).alias("asked"))  # as many as percentiles
+    counts = changes.groupBy("grp", "amount").agg(F.sum("sign").alias("k"))
+    one = counts.join(asked, "grp").select("grp", "k", "amount", F.inline("asked").alias("percentile", "told", "n", "max_rank_error"))
+    k = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    ranks = one.groupBy("grp", "percentile", "n", "max_rank_error").agg(k(F.col("amount") < F.col("told")).alias("below"), k(F.col("amount") <= F.col("told")).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("n") - 1e-9))
+    error = F.greatest(F.lit(0), rank - F.col("upto"), F.col("below") + 1 - rank)
+    # what later deliveries take away has an error of its own
+    return ranks.select(F.col("grp").alias("year"), "percentile", "n", (error <= F.col("max_rank_error")).alias("within_bound"), (F.col("max_rank_error") <= 2 * eps * F.col("n") + 2).alias("within_error"))
+
+
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     persons = table(spark, d, "person_background", "rinpersoon").withColumnRenamed("rinpersoon", "entity")
     ties = table(spark, d, "person_marriages", "rinpersoon", "partner").toDF("a", "b")
@@ -48,6 +66,21 @@ def p2_income_rows(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("split", "is_eval").agg(F.count("*").alias("n_rows"))
 
 
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what has to hold: persons, persons repeated, groups torn, splits whose share of persons is off by more than a hundredth, of rows by is_eval by more than two."""
+    chosen = Stage(_splits(spark, d), "splits").df
+    persons = chosen.agg(F.count("*").alias("n_persons"), (F.count("*") - F.count_distinct("entity")).alias("n_repeated"))
+    torn = chosen.groupBy("label").agg(F.count_distinct("split").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("n_torn"))
+    want = F.element_at(F.create_map(*[x for name, share in splits.SPLITS for x in (F.lit(name), F.lit(share))]), F.col("split"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy())
+    off = chosen.groupBy("split").agg(F.count("*").alias("n")).select((F.abs(share - want) > 0.01).alias("off")).agg(F.sum(F.col("off").cast("long")).alias("n_off"))
+    rows = table(spark, d, "person_income", "rinpersoon", "is_eval").filter("is_eval IN (0, 1)").withColumnRenamed("rinpersoon", "entity").join(chosen, "entity")
+    part = F.col("n") / F.sum("n").over(W.partitionBy("is_eval"))
+    rows_off = rows.groupBy("split", "is_eval").agg(F.count("*").alias("n")).select((F.abs(part - want) > 0.02).alias("off")).agg(F.sum(F.col("off").cast("long")).alias("n_rows_off"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(persons).join(one(torn), "k").join(one(off), "k").join(one(rows_off), "k").drop("k")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours(table(spark, d, "person_embeddings", "rinpersoon", "cls_emb"), "rinpersoon", "cls_emb", k=10, least=0.95)
     return close_pairs(near).toDF("rinpersoon_a", "rinpersoon_b")
@@ -163,7 +196,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_percentiles, p2_found, p2_splits, p2_income_rows, p3_found, p3_neighbours, p4_found, p4_clusters, p4_invariants,
+        p1_percentiles, p1_bounds, p2_found, p2_splits, p2_income_rows, p2_invariants, p3_found, p3_neighbours, p4_found, p4_clusters, p4_invariants,
         p8_found, p8_containers, p8_fill, p8_invariants, p9_found, p9_leaks, p10_found, p10_sentences, p10_coverage,
     )
 }
@@ -205,6 +238,14 @@ k AS (
   UNION ALL SELECT year, income FROM r WHERE rinpersoon IS NULL)
 SELECT year, unnest([{_QS}]::DOUBLE[]) AS percentile, unnest(amounts) AS amount, 0::BIGINT AS max_rank_error, n
 FROM (SELECT year, quantile_disc(income, [{_QS}]) AS amounts, count(*) AS n FROM k GROUP BY year)""",
+    "p1_bounds": f"""
+WITH r AS (
+  SELECT rinpersoon, year, income, loaded_at FROM person_income
+  WHERE year IS NOT NULL AND loaded_at IS NOT NULL AND income IS NOT NULL AND NOT isnan(income) AND NOT isinf(income) AND income NOT IN (9999999999, 8888888888)),
+k AS (SELECT year, count(DISTINCT rinpersoon) + count(*) FILTER (rinpersoon IS NULL) AS n FROM r GROUP BY 1)
+SELECT year, unnest([{_QS}]::DOUBLE[]) AS percentile, n, true AS within_bound, true AS within_error FROM k""",
+    "p2_invariants": """
+SELECT count(DISTINCT rinpersoon) AS n_persons, 0::BIGINT AS n_repeated, 0::BIGINT AS n_torn, 0::BIGINT AS n_off, 0::BIGINT AS n_rows_off FROM person_background""",
     "p2_found": """
 WITH RECURSIVE p AS (SELECT DISTINCT rinpersoon AS x FROM person_background WHERE rinpersoon IS NOT NULL),
 t AS (
