@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranking import exact_quantiles
+
 MISSING, OTHERS, ZERO = "MISSING", "Others", "SPECIAL_NUMERIC_ZERO"
 
 
@@ -66,12 +68,11 @@ def substitute_special(value: str | Column, labels: Column, numeric: Column) ->
 
 
 def describe_numeric(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, null share, mean, deviation and five percentiles per group."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.col(value).isNull().cast("double")).alias("null_share"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"), p.alias("p"),
-    ).select(*by, "n", "null_share", "mean", "std", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))])
+    """Count, null share, mean, deviation and five exact percentiles per group; a group of any size is spread."""
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).isNull().cast("double")).alias("null_share"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    p = exact_quantiles(df, list(by), value, [0.1, 0.25, 0.5, 0.75, 0.9]).withColumnsRenamed({c: f"__{c}" for c in by})
+    met = sums.join(p, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
+    return met.select(*by, "n", "null_share", "mean", "std", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))])
 
 
 def describe_categorical(df: DataFrame, column: str, top: int = 5, least: int = 10) -> DataFrame:
@@ -91,17 +92,27 @@ def covariance_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("covariance")) for k, (a, b) in enumerate(pairs)])))
 
 
+def few_valued(df: DataFrame, columns: Sequence[str], threshold: int) -> dict[str, bool]:
+    """Whether each column has at most ``threshold`` distinct values. Sketches in one pass settle the columns of many values; those near the threshold or
+    below, whose values are few, are counted exactly."""
+    if not columns:
+        return {}
+    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    near = [c for c in columns if rough[c] <= 4 * threshold + 10]
+    exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in near]).first() if near else {}
+    return {c: c in near and exact[c] <= threshold for c in columns}
+
+
 def inferred_metadata(df: DataFrame, threshold: int = 100) -> DataFrame:
     """``(Name, Type)``: text columns and those of few distinct values are String, others Numeric."""
-    counts = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in df.columns])
-    rows = [F.struct(F.lit(c).alias("Name"), (F.lit("String") if t == "string" else F.when(F.col(c) <= threshold, "String").otherwise("Numeric")).alias("Type")) for c, t in df.dtypes]
-    return counts.select(F.inline(F.array(*rows)))
+    few = few_valued(df, [c for c, t in df.dtypes if t != "string"], threshold)
+    return df.sparkSession.createDataFrame([(c, "String" if few.get(c, True) else "Numeric") for c in df.columns], "Name string, Type string")
 
 
 def drop_constant(df: DataFrame) -> DataFrame:
-    """Without columns of at most one distinct value; one pass decides."""
-    got = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in df.columns]).first()
-    return df.select(*[c for c in df.columns if got[c] > 1])
+    """Without columns of at most one distinct value (nulls don't count)."""
+    got = few_valued(df, df.columns, 1)
+    return df.select(*[c for c in df.columns if not got[c]])
 
 
 def mean_impute(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash32, pick, uniform
 from ..session import Stage
-from .ranking import dense_index
+from .ranking import dense_index, global_order
+
+
+#: Steps of all walks between two tables that are written.
+STEPS_AT_ONCE = 5
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -101,18 +105,32 @@ def layer_lists(edges: DataFrame) -> DataFrame:
     return rows.select("node", F.transform("x", lambda e: e["layer"]).alias("layers"), F.transform("x", lambda e: e["around"]).alias("lists"))
 
 
+def numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(position, dst)``: the neighbours of all nodes and layers, numbered through in one order, and
+    ``(node, layers, starts, degrees)``: a node's layers, sorted, with where its neighbours in each begin and how many there are.
+
+    A hub's neighbours are never gathered: one of them is found by its number.
+    """
+    order = Stage(global_order(symmetric(edges), "layer", "src", "dst").select("layer", "src", "dst", "position"), "edges").df
+    per = order.groupBy(F.col("src").alias("node"), "layer").agg(F.min("position").alias("start"), F.count("*").alias("degree"))
+    rows = per.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("layer", "start", "degree"))).alias("x"))
+    field = lambda f: F.transform("x", lambda e: e[f])
+    nodes = rows.select("node", field("layer").alias("layers"), field("start").alias("starts"), field("degree").alias("degrees"))
+    return order.select("position", "dst"), Stage(nodes, "nodes").df
+
+
 def layered_walks(edges: DataFrame, length: int, stay: float = 0.8, seed: str = "walk", weights: dict[str, float] | None = None) -> DataFrame:
     """``(source, step, layer, node)``: one walk from each node; it stays in its layer with probability ``stay`` where it can, else draws a layer.
 
     Layers are drawn evenly among those of the node, or by ``weights`` (made to sum to 1 over them). Every choice is
-    a hash of source, step and seed. One join per step: all walks move together.
+    a hash of source, step and seed. All walks move together: a step finds the node's layers, draws a neighbour's number and finds that.
     """
-    lists = Stage(layer_lists(edges), "lists").df
-    at = lists.select(F.col("node").alias("source"), F.lit(0).alias("step"), F.lit(None).cast("string").alias("layer"), "node")
-    out = [Stage(at, "walk").df]
+    around, nodes = numbered_edges(edges)
+    now = nodes.select(F.col("node").alias("source"), "node", F.lit(None).cast("string").alias("layer"), F.array(F.struct(F.lit(0).alias("step"), F.lit(None).cast("string").alias("layer"), F.col("node").alias("node"))).alias("path"))
+    parts = []
     for step in range(1, length):
         key = F.concat_ws("-", "source", F.lit(step))
-        here = out[-1].join(lists, "node")
+        here = now.join(nodes, "node")
         if weights is None:
             drawn = F.element_at("layers", (pick(key, F.size("layers"), seed + "-layer") + 1).cast("int"))
         else:
@@ -123,11 +141,16 @@ def layered_walks(edges: DataFrame, length: int, stay: float = 0.8, seed: str =
             drawn = F.element_at("layers", F.least(F.size(F.filter(run, lambda r: r <= u)) + 1, F.size("layers")))
         stays = F.col("layer").isNotNull() & F.array_contains("layers", F.col("layer")) & (uniform(key, seed + "-stay") < stay)
         chosen = here.withColumn("layer", F.when(stays, F.col("layer")).otherwise(drawn))
-        around = F.element_at("lists", F.array_position("layers", F.col("layer")).cast("int"))
-        moved = chosen.withColumn("around", around).select("source", F.lit(step).alias("step"), "layer", F.element_at("around", (pick(key, F.size("around"), seed + "-node") + 1).cast("int")).alias("node"))
-        out.append(Stage(moved, "walk").df)
-    whole = out[0]
-    for part in out[1:]:
+        place = F.array_position("layers", F.col("layer")).cast("int")
+        number = F.element_at("starts", place) + pick(key, F.element_at("degrees", place), seed + "-node")
+        moved = chosen.select("source", "layer", "path", number.alias("position")).join(around, "position").withColumnRenamed("dst", "node")
+        now = moved.select("source", "node", "layer", F.concat("path", F.array(F.struct(F.lit(step).alias("step"), "layer", "node"))).alias("path"))
+        if step % STEPS_AT_ONCE == 0 or step == length - 1:
+            held = Stage(now, "walk").df
+            parts.append(held.select("source", F.inline("path")))
+            now = held.select("source", "node", "layer", F.slice("path", 1, 0).alias("path"))
+    whole = parts[0] if parts else now.select("source", F.inline("path"))
+    for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
 
@@ -153,13 +176,25 @@ def hop_neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 3, per_le
     return seen.filter("hop > 0").select("person", "hop", "other")
 
 
-def negative_samples(edges: DataFrame, seed: str = "negative", tries: int = 8) -> DataFrame:
-    """``(layer, node, positive, negative)``: for each node one neighbour and one node that isn't, by hash; null if no try found any."""
+def negative_samples(edges: DataFrame, seed: str = "negative") -> DataFrame:
+    """``(layer, node, positive, negative)``: for each node one neighbour and one node that isn't, by hash; null if all others are neighbours.
+
+    Both are drawn by number and none twice: the negative is the r-th node that is neither the node nor a neighbour, which is
+    node number r + c, where c of the excluded ones come before it. Nothing is gathered.
+    """
     both = Stage(symmetric(edges), "edges").df
-    index = dense_index(both.select(F.col("src").alias("node")), "node", into="idx")
-    n = index.agg(F.count("*").alias("n"))
-    lists = both.groupBy("layer", F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("around"))
+    index = Stage(dense_index(both.select(F.col("src").alias("node")), "node", into="idx"), "index").df
+    n = index.agg(F.count("*").alias("__n"))
+    out = both.select("layer", F.col("src").alias("node"), F.col("dst").alias("other"))
+    excluded = out.unionByName(out.select("layer", "node", F.col("node").alias("other")).distinct())
+    placed = Stage(global_order(excluded.join(index.toDF("other", "idx"), "other"), "layer", "node", "idx").select("layer", "node", "other", "idx", "position"), "excluded").df
+    own = placed.groupBy("layer", "node").agg(F.min("position").alias("start"), F.count("*").alias("n"), F.min(F.when(F.col("other") == F.col("node"), F.col("position"))).alias("self"))
     key = F.concat_ws("-", "layer", "node")
-    tried = lists.join(F.broadcast(n)).select("layer", "node", "around", F.element_at("around", (pick(key, F.size("around"), seed + "-p") + 1).cast("int")).alias("positive"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: pick(F.concat_ws("-", key, t), F.col("n"), seed))).alias("t", "idx"))
-    met = tried.join(index.withColumnRenamed("node", "other"), "idx").withColumn("fine", (F.col("other") != F.col("node")) & ~F.array_contains("around", F.col("other")))
-    return met.groupBy("layer", "node", "positive").agg(F.min_by(F.when(F.col("fine"), F.col("other")), F.when(F.col("fine"), F.col("t"))).alias("negative"))
+    k = F.col("start") + pick(key, F.col("n") - 1, seed + "-p")
+    drawn = own.join(F.broadcast(n)).select(
+        "layer", "node", "start", (k + (k >= F.col("self")).cast("int")).alias("place"), F.when(F.col("__n") > F.col("n"), pick(key, F.col("__n") - F.col("n"), seed)).alias("r")
+    )
+    met = placed.join(drawn, ["layer", "node"])
+    before = F.sum((F.col("idx") - (F.col("position") - F.col("start")) <= F.col("r")).cast("int"))
+    found = met.groupBy("layer", "node").agg(F.max(F.when(F.col("position") == F.col("place"), F.col("other"))).alias("positive"), (F.max("r") + before).alias("idx"))
+    return found.join(index.withColumnRenamed("node", "negative"), "idx", "left").select("layer", "node", "positive", "negative")

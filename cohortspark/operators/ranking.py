@@ -47,7 +47,28 @@ def dense_index(df: DataFrame, *by: str, into: str = "idx") -> DataFrame:
     return global_order(df.select(*by).distinct(), *by).select(*by, (F.col("position") - 1).alias(into))
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], into: str = "p") -> DataFrame:
+    """``(by..., into)``: the exact interpolated quantiles of each group, as an array; a group without a value has none and no row.
+
+    Values are counted and ordered by range, so a group of any size is spread; of each group only the few values at the quantiles' ranks are picked.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    ordered = global_order(counts, *by, value, count="__c")
+    groups = ordered.groupBy(*by).agg(F.sum("__c").alias("__n"), F.min("before").alias("__first"))
+    if by:
+        names = {c: f"__by_{c}" for c in by}
+        on = [F.col(c).eqNullSafe(F.col(names[c])) for c in by]
+        met = ordered.join(groups.withColumnsRenamed(names), on)
+    else:
+        met = ordered.join(F.broadcast(groups))
+    first, n = F.col("before") - F.col("__first"), F.col("__n")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < first + F.col("__c")), F.col(value).cast("double")))
+    picked = [x for k, p in enumerate(probabilities) for x in (at(F.floor((n - 1) * p)).alias(f"__lo{k}"), at(F.ceil((n - 1) * p)).alias(f"__hi{k}"))]
+    found = met.groupBy(*by).agg(F.first("__n").alias("__n"), *picked)
+    place = lambda p: (F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)
+    return found.select(*by, F.array(*[F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * place(p) for k, p in enumerate(probabilities)]).alias(into))
+
+
 def quantile_edges(df: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
     """One row ``edges``: the exact interpolated quantiles of a column, ascending and distinct."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    return counts.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(p) for p in probabilities]), F.col("c")))).alias("edges"))
+    return exact_quantiles(df, [], value, probabilities).select(F.array_sort(F.array_distinct("p")).alias("edges"))

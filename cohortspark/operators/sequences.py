@@ -14,6 +14,8 @@ from .ranking import global_order
 PAD, CLS, SEP, MASK, UNK = "[PAD]", "[CLS]", "[SEP]", "[MASK]", "[UNK]"
 GENERAL = (PAD, CLS, SEP, MASK, UNK)
 MAX_LENGTH, MIN_EVENTS, MASK_RATIO = 512, 5, 0.3
+#: Tokens of a vocabulary that a task may hold.
+HELD_TOKENS = 1_000_000
 
 
 def event_sentences(df: DataFrame, person: str, days: str, age: str, columns: Sequence[str], source: int) -> DataFrame:
@@ -97,6 +99,33 @@ def encode(tokens: DataFrame, vocab: DataFrame, unknown: int = GENERAL.index(UNK
     return words.join(vocab.select("id", "token"), "token", "left").select("person", "pos", "token", F.coalesce("id", F.lit(unknown)).cast("bigint").alias("id"))
 
 
+def encoded_in_place(tokens: DataFrame, vocab: DataFrame, unknown: int = GENERAL.index(UNK), held: int = HELD_TOKENS) -> DataFrame:
+    """``tokens`` with ``ids``: each person's tokens as ids of the vocabulary, without a shuffle.
+
+    A vocabulary of at most ``held`` tokens travels in every task; a larger one is joined to the single tokens.
+    """
+    rows = vocab.select("token", "id").limit(held + 1).toArrow()
+    if rows.num_rows > held:
+        ids = encode(tokens, vocab, unknown).groupBy("person").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
+        return tokens.join(ids.select("person", F.transform("x", lambda e: e["id"]).alias("ids")), "person")
+    words, numbers = rows["token"].combine_chunks(), rows["id"].to_numpy()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            column = b.column("tokens")
+            flat = pc.index_in(column.flatten(), value_set=words).fill_null(-1).to_numpy()
+            ids = np.where(flat >= 0, numbers[flat], unknown) if len(numbers) else np.full(len(flat), unknown)
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()))], [*b.schema.names, "ids"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + ", ids array<bigint>"
+    return tokens.filter("tokens IS NOT NULL").mapInArrow(run, schema)
+
+
 def padded_ids(encoded: DataFrame, length: int = MAX_LENGTH) -> DataFrame:
     """``(person, input_ids, padding_mask)`` of a fixed length; bounded by it, as sequences are cut before."""
     rows = encoded.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))

@@ -81,7 +81,7 @@ def mean_impute(spark: SparkSession, d: str) -> DataFrame:
 
 def winsor_minmax_scale(spark: SparkSession, d: str) -> DataFrame:
     rows = _income(spark, d)
-    q = rows.groupBy("year").agg(F.percentile("income", F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("p"))
+    q = ranking.exact_quantiles(rows, ["year"], "income", [0.1, 0.25, 0.5, 0.75, 0.9])
     met = rows.join(q, "year")
     clipped = F.least(F.greatest("income", F.col("p")[0]), F.col("p")[4])
     width = lambda a, b: F.greatest(F.col("p")[b] - F.col("p")[a], F.lit(1e-9))

@@ -13,8 +13,8 @@ from ..operators.spells import years_covered
 from ..sources.tables import table
 
 LAYERS = ("family", "neighbour", "work")
-#: Elements of a walk in the queries, and the fewer that their SQL still has.
-STEPS, SQL_STEPS = 40, 6
+#: Elements of a walk.
+STEPS = 40
 STAY = 0.8
 WEIGHTS = {"family": 0.6, "neighbour": 0.1, "work": 0.1}
 SALT_BUCKETS = 32
@@ -135,9 +135,13 @@ _STATS = "count(*) AS n, round(avg(degree), 6) AS mean, round(median(degree), 6)
 _H = "('0x' || substr(md5({0} || ':{1}'), 1, 8))::BIGINT"
 
 
-def _walk(seed: str, stay: float) -> str:
+def _walk(seed: str, stay: float, weights: dict[str, float] | None = None) -> str:
     key = "source || '-' || (step + 1)"
     drawn = f"layers[({_H.format(key, seed + '-layer')} % len(layers) + 1)::BIGINT]"
+    if weights:
+        w = "list_transform(layers, lambda x: CASE x " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in weights.items()) + " END)"
+        upto = f"list_transform(range(1, len(layers) + 1), lambda k: list_reduce(list_prepend(0.0::DOUBLE, {w}[1:k]), lambda a, b: a + b) / list_reduce(list_prepend(0.0::DOUBLE, {w}), lambda a, b: a + b))"
+        drawn = f"layers[least(len(list_filter({upto}, lambda r: r <= {_H.format(key, seed + '-layer')} / 4294967296.0)) + 1, len(layers))]"
     return f"""
 per AS (SELECT src AS node, layer, list(DISTINCT dst ORDER BY dst) AS around FROM sym GROUP BY 1, 2),
 nl AS (SELECT node, list(layer ORDER BY layer) AS layers FROM per GROUP BY 1),
@@ -145,7 +149,7 @@ walk AS (SELECT node AS source, 0 AS step, NULL::VARCHAR AS layer, node FROM nl
   UNION ALL
   SELECT source, step, c.layer, around[({_H.format("source || '-' || step", seed + "-node")} % len(around) + 1)::BIGINT] FROM (
     SELECT source, step + 1 AS step, node, CASE WHEN layer IS NOT NULL AND list_contains(layers, layer) AND {_H.format(key, seed + "-stay")} / 4294967296.0 < {stay} THEN layer ELSE {drawn} END AS layer
-    FROM walk JOIN nl USING (node) WHERE step < {SQL_STEPS - 1}) c JOIN per ON per.node = c.node AND per.layer = c.layer)"""
+    FROM walk JOIN nl USING (node) WHERE step < {STEPS - 1}) c JOIN per ON per.node = c.node AND per.layer = c.layer)"""
 
 
 ORACLE = {
@@ -171,6 +175,13 @@ SELECT person, """ + ", ".join(f"CASE WHEN count(e.person) = 0 THEN -1 ELSE coun
     "layered_walks": f"WITH RECURSIVE {EDGES}, {_walk('walk', STAY)} SELECT source, step::INTEGER AS step, layer, node FROM walk WHERE step > 0",
     "context_pairs": f"""WITH RECURSIVE {EDGES}, {_walk('walk', STAY)}
 SELECT a.node AS center, b.node AS context, round(sum(1 - (abs(a.step - b.step) - 1) / 2.0), 6) AS weight FROM walk a JOIN walk b ON a.source = b.source AND a.step <> b.step AND abs(a.step - b.step) <= 2 GROUP BY 1, 2""",
+    "priority_walks": f"WITH RECURSIVE {EDGES}, {_walk('priority', 0.0, WEIGHTS)} SELECT source, step::INTEGER AS step, layer, node FROM walk WHERE step > 0",
+    "positive_negative_pairs": f"""WITH {EDGES}, m AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT src AS node FROM sym)),
+e AS (SELECT layer, src AS node, list(DISTINCT dst ORDER BY dst) AS around FROM sym GROUP BY 1, 2),
+x AS (SELECT layer, nd AS node, list(idx ORDER BY idx) AS ex, any_value(n) AS n FROM (SELECT layer, src AS nd, dst AS o FROM sym UNION SELECT layer, src, src FROM sym) JOIN m ON m.node = o GROUP BY 1, 2) ,
+r AS (SELECT layer, node, around[({_H.format("layer || '-' || node", "negative-p")} % len(around) + 1)::BIGINT] AS positive,
+  CASE WHEN n > len(ex) THEN list_reduce(list_prepend({_H.format("layer || '-' || node", "negative")} % (n - len(ex)), ex), lambda a, b: a + (b <= a)::INTEGER) END AS idx FROM e JOIN x USING (layer, node))
+SELECT layer, r.node, positive, m.node AS negative FROM r LEFT JOIN m ON m.idx = r.idx""",
     "csr_degrees": f"""WITH {EDGES}, m AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)),
 d AS (SELECT idx, count(DISTINCT dst) AS degree FROM m LEFT JOIN sym ON src = node GROUP BY 1)
 SELECT idx, degree, coalesce(sum(degree) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr FROM d""",

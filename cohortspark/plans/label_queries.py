@@ -286,10 +286,15 @@ JOIN i c ON c.rinpersoon = yp.partner AND c.year = yp.year GROUP BY 1""".replace
     "nn_overlap": f"WITH {_NN.format('a', 1, 32)}, {_NN.format('c', 33, 64)} SELECT a.id, count(c.id) / 5.0 AS overlap FROM a LEFT JOIN c ON c.id = a.id AND c.other = a.other GROUP BY 1",
     "footrule": f"""WITH {_NN.format('a', 1, 32)}, {_NN.format('c', 33, 64)}
 SELECT coalesce(a.id, c.id) AS id, round(sum(abs(coalesce(a.rank, 5) - coalesce(c.rank, 5)) / (least(coalesce(a.rank, 5), coalesce(c.rank, 5)) + 1)), 6) AS distance FROM a FULL JOIN c ON c.id = a.id AND c.other = a.other GROUP BY 1""",
-    "partner_rank": f"""WITH {_M}, {_U}, p AS (SELECT DISTINCT year, rinpersoon AS person, partner FROM m WHERE year IS NOT NULL AND rinpersoon <> partner),
-d AS (SELECT p.*, a.vec AS av, c.vec AS cv, ('0x' || substr(md5(year || '-' || person || '-' || partner || '-' || t || ':rank'), 1, 8))::BIGINT % a.n AS x FROM p JOIN v a ON a.id = person JOIN v c ON c.id = partner, (SELECT unnest(range(1, 21)) AS t)),
-r AS (SELECT year, person, partner, 1 + count(*) FILTER (round(list_cosine_similarity(av, o.vec), 9) > round(list_cosine_similarity(av, cv), 9)) AS rank FROM d JOIN v o ON o.idx = x WHERE o.id <> person AND o.id <> partner GROUP BY 1, 2, 3)
-SELECT CASE WHEN grouping(year) = 1 THEN 'OVERALL' ELSE year::VARCHAR END AS year, round(avg(rank), 6) AS mean_rank, count(*) AS n FROM r GROUP BY ROLLUP (year)""".replace("GROUP BY ROLLUP (year)", "GROUP BY ROLLUP (r.year)").replace("grouping(year) = 1 THEN 'OVERALL' ELSE year::", "grouping(r.year) = 1 THEN 'OVERALL' ELSE r.year::"),
+    "partner_rank": f"""WITH {_M}, {_U}, {_B}, p AS (SELECT DISTINCT year, rinpersoon AS person, partner FROM m WHERE year IS NOT NULL AND rinpersoon <> partner),
+g AS (SELECT id, vec, coalesce(gender, 0) AS gender FROM u LEFT JOIN b ON b.rinpersoon = id),
+k AS (SELECT *, row_number() OVER (PARTITION BY gender ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY gender) AS n FROM g),
+q AS (SELECT p.*, a.vec AS av, c.vec AS cv, c.gender, c.n - 1 - (a.gender = c.gender)::INTEGER AS rest,
+        CASE WHEN a.gender = c.gender THEN least(a.i, c.i) ELSE c.i END AS low, CASE WHEN a.gender = c.gender THEN greatest(a.i, c.i) END AS high FROM p JOIN k a ON a.id = person JOIN k c ON c.id = partner),
+d AS (SELECT *, ('0x' || substr(md5(year || '-' || person || '-' || partner || '-' || t || ':rank'), 1, 8))::BIGINT % rest AS x0 FROM q, (SELECT unnest(range(1, 101)) AS t) WHERE rest > 0),
+e AS (SELECT *, x0 + (x0 >= low)::INTEGER AS x1 FROM d), f AS (SELECT *, x1 + coalesce((x1 >= high)::INTEGER, 0) AS x FROM e),
+r AS (SELECT f.year, person, partner, 1 + count(*) FILTER (round(list_cosine_similarity(av, o.vec), 9) > round(list_cosine_similarity(av, cv), 9)) AS rank FROM f JOIN k o ON o.gender = f.gender AND o.i = x GROUP BY 1, 2, 3)
+SELECT CASE WHEN grouping(r.year) = 1 THEN 'OVERALL' ELSE r.year::VARCHAR END AS year, round(avg(rank), 6) AS mean_rank, count(*) AS n FROM r GROUP BY ROLLUP (r.year)""",
     "partner_similarity_histogram": f"""WITH {_M}, {_U}, p AS (SELECT DISTINCT rinpersoon, partner FROM m WHERE rinpersoon < partner),
 s AS (SELECT round(list_cosine_similarity(a.vec, c.vec), 6) AS s FROM p JOIN v a ON a.id = rinpersoon JOIN v c ON c.id = partner), e AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
 SELECT least(floor((s - lo) / (hi - lo) * 20), 19)::INTEGER AS bin, count(*) AS n FROM s, e GROUP BY 1 HAVING count(*) > 2""",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import dates
+from ..functions import arrays, dates
 from ..operators import sequences as sq, spells as sp
 from ..sources.tables import table
 from .cleaning_queries import UNIFORM
 
-#: Length of encoded sequences in the queries, and the shorter one that their SQL still has.
-LENGTH, SQL_LENGTH = sq.MAX_LENGTH, 64
+#: Length of encoded sequences.
+LENGTH = sq.MAX_LENGTH
 PREFIX = 2
 
 
@@ -99,11 +99,9 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encode_sequences(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    ids = sq.padded_ids(sq.encode(tokens, _vocabulary(spark, d)), LENGTH)
+    coded = sq.encoded_in_place(_tokens(spark, d), _vocabulary(spark, d))
     text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-    met = ids.join(tokens, "person")
-    return met.select("person", text("input_ids").alias("input_ids"), text("abspos").alias("abspos"), text("segment").alias("segment"), F.aggregate("padding_mask", F.lit(0), lambda s, x: s + x).alias("n_tokens"))
+    return coded.select("person", text(arrays.pad_right("ids", LENGTH, 0)).alias("input_ids"), text("abspos").alias("abspos"), text("segment").alias("segment"), F.size("ids").alias("n_tokens"))
 
 
 def time_slice_min_events(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +111,8 @@ def time_slice_min_events(spark: SparkSession, d: str) -> DataFrame:
 
 def token_masking(spark: SparkSession, d: str) -> DataFrame:
     vocab = _vocabulary(spark, d)
-    return sq.random_mask(sq.encode(_tokens(spark, d), vocab), vocab.count())
+    coded = sq.encoded_in_place(_tokens(spark, d).select("person", "tokens"), vocab)
+    return sq.random_mask(coded.select("person", F.posexplode("ids").alias("pos", "id")), vocab.count())
 
 
 def event_masking(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +171,7 @@ v0 AS (SELECT -2 AS s, unnest(range(5)) AS o, unnest(['[PAD]', '[CLS]', '[SEP]',
 v AS (SELECT row_number() OVER (ORDER BY s, o, token) - 1 AS id, token, category FROM v0)"""
 
 _T = _V + f""",
-x AS (SELECT * FROM n WHERE k - i <= ({SQL_LENGTH} - {PREFIX} - 1) // 3),
+x AS (SELECT * FROM n WHERE k - i <= ({LENGTH} - {PREFIX} - 1) // 3),
 l AS (SELECT person, {PREFIX} + 3 * (row_number() OVER (PARTITION BY person ORDER BY i) - 1) AS place, *EXCLUDE person FROM x),
 w AS (SELECT person, 0 AS pos, '[CLS]' AS token, 0 AS abspos, 0 AS seg FROM b UNION ALL SELECT person, 1, '[SEP]', 0, 0 FROM b
       UNION ALL SELECT person, place + o, CASE o WHEN 0 THEN t1 WHEN 1 THEN t2 ELSE '[SEP]' END, days,
@@ -217,7 +216,7 @@ WHERE event_code LIKE 'JOB%' AND daysSinceFirstEvent BETWEEN 0 AND 17999 AND yea
     "token_person_counts": _E + """
 SELECT token, count(DISTINCT person) AS n_persons FROM (SELECT person, t1 AS token FROM e UNION ALL SELECT person, t2 FROM e) GROUP BY 1 HAVING count(DISTINCT person) >= 20""",
     "encode_sequences": _T + f"""
-SELECT person, string_agg(id, ',' ORDER BY pos) || repeat(',0', {SQL_LENGTH} - count(*)) AS input_ids, string_agg(abspos, ',' ORDER BY pos) AS abspos,
+SELECT person, string_agg(id, ',' ORDER BY pos) || repeat(',0', {LENGTH} - count(*)) AS input_ids, string_agg(abspos, ',' ORDER BY pos) AS abspos,
        string_agg(seg, ',' ORDER BY pos) AS segment, count(*)::INTEGER AS n_tokens FROM d GROUP BY 1""",
     "time_slice_min_events": _E + """
 SELECT person, count(*) FILTER (days BETWEEN 9000 AND 14000)::INTEGER AS n_events FROM p GROUP BY 1
@@ -225,7 +224,7 @@ HAVING count(*) >= 5 AND count(*) FILTER (days BETWEEN 9000 AND 14000) >= 5""",
     "token_masking": _T + f""",
 g AS (SELECT *, count(*) OVER (PARTITION BY person) AS length, pos > 0 AND id NOT IN (2, 4) AS legal FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY {_H.format("person || '-' || pos", "mask")}, pos) - 1 AS r, least(floor(length * 0.3), count(*) OVER (PARTITION BY person)) AS n FROM g WHERE legal)
-SELECT person, pos::INTEGER AS pos, id AS target, CASE WHEN r < floor(n * 0.1) THEN id WHEN r >= n - floor(n * 0.1) THEN 5 + {_H.format("person || '-' || pos", "mask-token")} % 195 ELSE 3 END AS id
+SELECT person, pos::INTEGER AS pos, id AS target, CASE WHEN r < floor(n * 0.1) THEN id WHEN r >= n - floor(n * 0.1) THEN 5 + {_H.format("person || '-' || pos", "mask-token")} % ((SELECT count(*) FROM v) - 5) ELSE 3 END AS id
 FROM r WHERE r < n""",
     "event_masking": _N + f""",
 m AS (SELECT person, 2 * row_number() OVER (PARTITION BY person ORDER BY {_H.format("person || '-' || i", "event")}, i) / (2.0 * k) <= 0.3 AS masked FROM n)
