@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ranking import exact_quantiles
+from .ranking import dense_index, exact_quantiles
 
 MISSING, OTHERS, ZERO = "MISSING", "Others", "SPECIAL_NUMERIC_ZERO"
 
@@ -51,6 +52,70 @@ def top_or_other(df: DataFrame, column: str, n: int = 100, into: str | None = No
     return filled.join(top, F.col(c) == F.col("__top"), "left").withColumn(c, kept).drop("__top")
 
 
+def top_labelled(df: DataFrame, column: str, labels: DataFrame, n: int = 100) -> DataFrame:
+    """Of values that have a label (``labels``: one column) the n most frequent stay (ties by value) and others become ``Others``; values without a label stay."""
+    known = labels.toDF("__l").filter("__l IS NOT NULL").distinct()
+    counts = df.groupBy(column).agg(F.count("*").alias("__n")).join(known, F.col(column) == F.col("__l")).orderBy(F.desc("__n"), column).limit(n).select(F.col(column).alias("__top"))
+    rare = known.join(counts, F.col("__l") == F.col("__top"), "left_anti")
+    return df.join(rare, F.col(column) == F.col("__l"), "left").withColumn(column, F.when(F.col("__l").isNotNull(), F.lit(OTHERS)).otherwise(F.col(column))).drop("__l")
+
+
+def special_zeros(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All columns but the keys as text, zeros as ``SPECIAL_NUMERIC_ZERO``."""
+    zero = lambda c: F.when(F.col(c).try_cast("double") == 0, F.lit(ZERO)).otherwise(F.col(c).cast("string")).alias(c)
+    return df.select(*[F.col(c) if c in keys else zero(c) for c in df.columns])
+
+
+def mapped(c: str | Column, values: dict[str, str]) -> Column:
+    """Values by a dict; null for those it lacks."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), x)
+
+
+def cleaned_columns(df: DataFrame, keep: Sequence[str], restricted: Sequence[str], change) -> DataFrame:
+    """Columns without restricted substrings; those in ``keep`` (keys and times) pass as they are, the others through ``change``."""
+    left = drop_restricted(df, restricted, keep)
+    return left.select(*[F.col(c) if c in keep else change(F.col(c)).alias(c) for c in left.columns])
+
+
+def by_modulus(df: DataFrame, key: str, of: int = 100) -> DataFrame:
+    """The sample of rows whose key is divisible by ``of``."""
+    return df.filter(F.pmod(F.col(key), F.lit(of)) == 0)
+
+
+def missing_counts(df: DataFrame, top: int | None = None) -> DataFrame:
+    """``(column, n_missing)`` of all columns or those with most, in one pass."""
+    one = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in df.columns])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).alias("n_missing")) for c in df.columns])))
+    return rows.orderBy(F.desc("n_missing"), "column").limit(top) if top else rows
+
+
+def year_limits(tables: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """``(name, first, last)`` of a year over several tables."""
+    parts = [df.agg(F.min(c).alias("first"), F.max(c).alias("last")).select(F.lit(n).alias("name"), "first", "last") for n, df, c in tables]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def log_summary(df: DataFrame, by: str, step: str, loss: str) -> DataFrame:
+    """``(by, max_step, min_loss, first_nan)``: of a training log whose loss is text; ``first_nan``: the first step at which it is no number."""
+    value = F.col(loss).try_cast("double")
+    bad = value.isNull() | F.isnan(value)
+    return df.groupBy(by).agg(F.max(step).alias("max_step"), F.min(F.when(~bad, value)).alias("min_loss"), F.min(F.when(bad, F.col(step))).alias("first_nan"))
+
+
+def nan_fractions(df: DataFrame, vectors: Sequence[str]) -> DataFrame:
+    """``(layer, fraction)`` of numbers that are NaN or infinite in each vector column."""
+    odd = lambda c: F.size(F.filter(c, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    one = df.agg(*[(F.sum(odd(c)) / F.sum(F.size(c))).alias(c) for c in vectors])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("fraction")) for c in vectors])))
+
+
+def factor_codes(df: DataFrame, column: str, into: str = "code") -> DataFrame:
+    """``df`` with the rank of each value among the distinct ones, from 1; -1 for null."""
+    index = dense_index(df.select(column).filter(F.col(column).isNotNull()), column, into="__i").withColumnRenamed(column, "__v")
+    return df.join(index, F.col(column) == F.col("__v"), "left").withColumn(into, F.coalesce(F.col("__i") + 1, F.lit(-1)).cast("bigint")).drop("__i", "__v")
+
+
 def parse_labels(text: str | Column) -> Column:
     """The text of a dict of codes and labels as a map; an empty map where there is none."""
     x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.arrays import cosine, dot, norm
+from ..functions.arrays import cosine, dot, l2_distance, l2_normalise, norm
 from ..functions.hashing import hash32
 
+#: Clusters whose sums or centroids travel in one row, at most.
+FEW_CLUSTERS = 10_000
 #: Query vectors that are compared with the corpus at a time.
 QUERY_BLOCK = 20_000
 
@@ -114,9 +117,9 @@ def centroids(df: DataFrame, cluster: str, vector: str, width: int = 64) -> Data
 def own_centroid_share(df: DataFrame, cluster: str, vector: str, width: int = 64) -> DataFrame:
     """``(cluster, share)`` of members whose nearest centroid by cosine is their own. Clusters are few: their centroids are one array, checked."""
     c = centroids(df, cluster, vector, width)
-    held = c.orderBy(cluster).limit(10_001).collect()
-    if len(held) > 10_000:
-        raise ValueError("more than 10,000 clusters")
+    held = c.orderBy(cluster).limit(FEW_CLUSTERS + 1).collect()
+    if len(held) > FEW_CLUSTERS:
+        raise ValueError(f"more than {FEW_CLUSTERS} clusters")
     table = df.sparkSession.createDataFrame([([(r[cluster], r["centroid"]) for r in held],)], f"all array<struct<c:{dict(df.dtypes)[cluster]},v:array<double>>>")
     near = F.array_max(F.transform("all", lambda x: F.struct(F.round(cosine(vector, x["v"]), 9).alias("s"), (-x["c"]).alias("m"))))
     return df.join(F.broadcast(table)).select(cluster, (near["m"] == -F.col(cluster)).cast("double").alias("own")).groupBy(cluster).agg(F.avg("own").alias("share"))
@@ -132,6 +135,82 @@ def cluster_scores(df: DataFrame, cluster: str, vector: str, width: int = 64) ->
     return one.select(((between / (F.col("k") - 1)) / (within / (F.col("N") - F.col("k")))).alias("calinski_harabasz"), within.alias("within"), between.alias("between"))
 
 
+def silhouette(df: DataFrame, cluster: str, vector: str, width: int = 64) -> DataFrame:
+    """One row ``silhouette``: the mean over all vectors by cosine distance, exact, from each cluster's sum of unit vectors: no pairs are formed.
+
+    The clusters' sums travel in one array, checked to be few; a vector alone in its cluster scores 0, vectors of length 0 take no part.
+    """
+    unit = df.withColumn("__u", l2_normalise(vector)).filter(norm(vector) > 0).select(F.col(cluster).alias("c"), "__u")
+    sums = unit.groupBy("c").agg(F.count("*").alias("n"), *[F.sum(F.col("__u")[i]).alias(f"s{i}") for i in range(width)])
+    packed = sums.select("c", "n", F.array(*[f"s{i}" for i in range(width)]).alias("s"))
+    held = packed.limit(FEW_CLUSTERS + 1).collect()
+    if len(held) > FEW_CLUSTERS:
+        raise ValueError(f"more than {FEW_CLUSTERS} clusters")
+    table = df.sparkSession.createDataFrame([([(r["c"], r["n"], r["s"]) for r in held],)], f"all array<struct<c:{dict(unit.dtypes)['c']},n:bigint,s:array<double>>>")
+    far = F.transform("all", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), dot("__u", x["s"]).alias("t")))
+    met = unit.join(F.broadcast(table)).select("c", far.alias("far"))
+    own = F.filter("far", lambda x: x["c"] == F.col("c"))[0]
+    a = F.when(own["n"] > 1, (own["n"] - own["t"]) / (own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("far", lambda x: x["c"] != F.col("c")), lambda x: 1 - x["t"] / x["n"]))
+    return met.select(F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
+def davies_bouldin(df: DataFrame, cluster: str, vector: str, width: int = 64) -> DataFrame:
+    """One row ``davies_bouldin``: the mean over clusters of the worst ratio of two clusters' spreads to the distance of their centroids. Clusters are compared in pairs."""
+    c = centroids(df, cluster, vector, width).select(F.col(cluster).alias("c"), "centroid")
+    spread = df.join(c, F.col(cluster) == F.col("c")).groupBy("c").agg(F.avg(l2_distance(vector, "centroid")).alias("spread"))
+    placed = c.join(spread, "c")
+    a, b = placed.toDF("a", "xa", "sa"), placed.toDF("b", "xb", "sb")
+    ratio = (F.col("sa") + F.col("sb")) / l2_distance("xa", "xb")
+    return a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def distance_histogram(pairs: DataFrame, vectors: DataFrame, by: Sequence[str], a: str, b: str, bins: int = 100, least: int = 10) -> DataFrame:
+    """``(by..., bin, n, weight)`` of the cosine of each pair's vectors ``(id, vec)``: ``bins`` of equal width from -1 to 1, their share of the group; bins of ``least`` members or fewer are suppressed."""
+    met = pairs.join(vectors.select(F.col("id").alias(a), F.col("vec").alias("__a")), a).join(vectors.select(F.col("id").alias(b), F.col("vec").alias("__b")), b)
+    place = F.least(F.floor((F.round(cosine("__a", "__b"), 6) + 1) / 2 * bins), F.lit(bins - 1)).cast("int")
+    counts = met.groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.withColumn("weight", F.col("n") / F.sum("n").over(W.partitionBy(*by))).filter(F.col("n") > least)
+
+
+def probability_gap(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., n, mean_1, mean_0, gap)``: mean score of the positives and of the others, and how far they are apart."""
+    mean = lambda v: F.avg(F.when(F.col(label) == v, F.col(score)))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), mean(1).alias("mean_1"), mean(0).alias("mean_0"), (mean(1) - mean(0)).alias("gap"))
+
+
+def binomial_bound(n: int, errors: int, delta: float) -> float:
+    """The largest error rate at which so few errors are seen with a chance of ``delta``: found by halving, from the exact binomial sum."""
+    if n == 0 or errors >= n:
+        return 1.0
+    fact = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(errors + 1)]
+    chance = lambda p: sum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(fact))
+    low, high = max(errors / n, 1e-12), 1.0 - 1e-12
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chance(mid) > delta else (low, mid)
+    return (low + high) / 2
+
+
+def selective_risk(df: DataFrame, score: str, error: str, thresholds: Sequence[float], delta: float = 0.05) -> DataFrame:
+    """``(threshold, n, errors, coverage, risk, bound)``: of the rows scored at least so high, the share in error and a bound that holds with ``1 - delta``."""
+    t = df.select(score, error, F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    hit = F.col(score) >= F.col("threshold")
+    rows = t.groupBy("threshold").agg(F.sum(hit.cast("bigint")).alias("n"), F.sum((hit & (F.col(error) == 1)).cast("bigint")).alias("errors"), F.count("*").alias("all")).collect()  # one for each threshold
+    told = [(r["threshold"], r["n"], r["errors"], r["n"] / r["all"], r["errors"] / max(r["n"], 1), binomial_bound(r["n"], r["errors"], delta)) for r in rows]
+    return df.sparkSession.createDataFrame(told, "threshold double, n bigint, errors bigint, coverage double, risk double, bound double")
+
+
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 7, rounds: int = 20) -> DataFrame:
+    """``df`` with ``cluster``: k-means over all vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.withColumn("__x", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="__x", predictionCol="cluster").fit(rows)
+    return model.transform(rows).drop("__x")
+
+
 def mean_pair_cosine(df: DataFrame, cluster: str, vector: str, width: int = 64) -> DataFrame:
     """``(a, b, mean_cosine)``: mean cosine of the pairs within a cluster (a = b) and between two; from sums of unit vectors, without forming pairs."""
     unit = df.withColumn("__n", norm(vector)).filter("__n > 0")
@@ -159,7 +238,9 @@ def pu_metrics(tp: Column, fp: Column, tn: Column, fn: Column, alpha: float, bet
     prior = (tp + fn) / (tp + fp + tn + fn)
     positive = prior * (1 - beta) + (1 - prior) * alpha
     precision = tpr * positive / (tpr * positive + fpr * (1 - positive))
-    return {"f1": 2 * precision * tpr / (precision + tpr), "balanced_accuracy": (1 + tpr - fpr) / 2}
+    told = (tp + fp) / (tp + fp + tn + fn)
+    mcc = F.sqrt(positive * (1 - positive) / (told * (1 - told))) * (tpr - fpr)
+    return {"f1": 2 * precision * tpr / (precision + tpr), "balanced_accuracy": (1 + tpr - fpr) / 2, "mcc": mcc}
 
 
 def area_under_lift(df: DataFrame, label: str, score: str) -> DataFrame:

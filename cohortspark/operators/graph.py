@@ -63,6 +63,32 @@ def largest_component(components: DataFrame) -> DataFrame:
     return components.join(top, "component", "left_semi").select("node")
 
 
+def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which both ends are among ``nodes`` (one column)."""
+    return edges.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi")
+
+
+def users_of_layer(edges: DataFrame, layer: str) -> DataFrame:
+    """``(node)``: the ends of a layer's edges, loops left out."""
+    return edges.filter((F.col("layer") == layer) & (F.col("src") != F.col("dst"))).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def csr_neighbours(edges: DataFrame) -> DataFrame:
+    """``(place, idx, neighbour)``: the neighbours of all nodes in one list, by node and neighbour, places from 0. Edges on dense ids."""
+    both = symmetric(edges.select("src", "dst"))
+    return global_order(both, "src", "dst").select((F.col("position") - 1).alias("place"), F.col("src").alias("idx"), F.col("dst").alias("neighbour"))
+
+
+def combined_neighbours(edges: DataFrame, mapping: DataFrame, most: int | None = None, seed: str = "combine") -> DataFrame:
+    """``(node, neighbour)`` over all layers, numbers turned back into nodes; with ``most`` so many of each node, by hash."""
+    a, b = mapping.toDF("node", "src"), mapping.toDF("neighbour", "dst")
+    pairs = symmetric(edges.select("src", "dst")).join(a, "src").join(b, "dst").select("node", "neighbour")
+    if most is None:
+        return pairs
+    order = W.partitionBy("node").orderBy(hash32(F.concat_ws("-", "node", "neighbour"), seed), "neighbour")
+    return pairs.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).drop("__r")
+
+
 def layer_degrees(edges: DataFrame, persons: DataFrame, layers: Sequence[str]) -> DataFrame:
     """``(layer, n, mean, median, std, p10, p90, nonzero)`` of the number of neighbours of ``persons``, those without any included."""
     count = symmetric(edges).groupBy(F.col("src").alias("person")).pivot("layer", list(layers)).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -97,3 +98,80 @@ def transforms(value: str, mean: Column, std: Column, low: Column, high: Column)
     z, m, shift = (x - mean) / std, (x - low) / (high - low), F.abs(low) + 1
     log = F.log1p(x + shift)
     return {"z": (z, z * std + mean), "min_max": (m, m * (high - low) + low), "log": (log, F.expm1(log) - shift)}
+
+
+def common_keys(sets: dict[str, DataFrame]) -> DataFrame:
+    """``(a, b, n_common)`` for each pair of key sets of one column, from each key's set of names; none in common means they are disjoint."""
+    names = list(sets)
+    key = sets[names[0]].columns[0]
+    marks = [df.toDF(key).distinct().withColumn("bit", F.lit(1 << k)) for k, df in enumerate(sets.values())]
+    bits = reduce(DataFrame.unionByName, marks).groupBy(key).agg(F.sum("bit").alias("bits"))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    both = lambda i, j: F.coalesce(F.sum((F.col("bits").bitwiseAND((1 << i) | (1 << j)) == (1 << i) | (1 << j)).cast("bigint")), F.lit(0))
+    one = bits.agg(*[both(i, j).alias(f"p{i}_{j}") for i, j in pairs])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{i}_{j}").alias("n_common")) for i, j in pairs])))
+
+
+def hash_sample(df: DataFrame, by: Sequence[str], key: Column, n: int, seed: str = "sample") -> DataFrame:
+    """``n`` rows of each group, the first by a hash of the key: what reservoir sampling gives, but the same each time.
+
+    Each partition keeps its own first n of a group before they meet, so a group of any size sends few rows.
+    """
+    order = W.partitionBy(*by).orderBy("__h", "__k")
+    return df.withColumns({"__k": key, "__h": hash32(key, seed)}).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).drop("__k", "__h", "__r")
+
+
+def positional_split(df: DataFrame, key: str, n_val: int, ranks: int) -> DataFrame:
+    """``(key, split, shard)``: by position the first ``n_val`` keys validate, the others are cut into contiguous shards, one for each rank."""
+    placed, total = global_order(df.select(key).distinct(), key), df.select(key).distinct().agg(F.count("*").alias("__n"))
+    shard = F.floor((F.col("position") - n_val - 1) * ranks / (F.col("__n") - n_val)).cast("int")
+    return placed.join(F.broadcast(total)).select(key, F.when(F.col("position") <= n_val, "val").otherwise("train").alias("split"), F.when(F.col("position") > n_val, shard).alias("shard"))
+
+
+def evaluation_order(df: DataFrame, key: str, target: str, seed: str = "0") -> DataFrame:
+    """``(key, target, place)``: positives first, then the negatives in an order by hash; places from 0."""
+    keyed = df.select(key, target, (-F.col(target)).alias("__t"), F.when(F.col(target) == 1, 0).otherwise(hash32(key, seed)).alias("__h"))
+    return global_order(keyed, "__t", "__h", key).select(key, target, (F.col("position") - 1).alias("place"))
+
+
+def weighted_draws(df: DataFrame, key: str, weight: str, seed: str = "draw") -> DataFrame:
+    """``(key)``, a row for each of as many draws as there are rows, with replacement and chances by whole weights.
+
+    A draw is a number below the sum of weights and falls to the row whose stretch holds it. Stretches are cut at multiples of a width, so that
+    draws meet them by an equality and no draw is compared with all rows.
+    """
+    placed = global_order(df.select(key, F.col(weight).cast("bigint").alias("__w")), key, count="__w")
+    total = placed.agg(F.sum("__w").alias("__total"), F.count("*").alias("__n"))
+    width = F.greatest(F.lit(1), F.ceil(F.col("__total") / F.col("__n")).cast("bigint"))
+    cells = placed.join(F.broadcast(total)).select(
+        key, "before", "__w", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("__w") - 1) / width))).alias("__cell")
+    ).filter("__w > 0")
+    draws = placed.join(F.broadcast(total)).select(F.floor(uniform((F.col("position") - 1).cast("string"), seed) * F.col("__total")).alias("__u"), width.alias("__width"))
+    met = draws.select("__u", F.floor(F.col("__u") / F.col("__width")).alias("__cell")).join(cells, "__cell")
+    return met.filter((F.col("__u") >= F.col("before")) & (F.col("__u") < F.col("before") + F.col("__w"))).select(key)
+
+
+def ranks_within(df: DataFrame, by: Sequence[str], score: str, into: str = "rank") -> DataFrame:
+    """``df`` with the average rank of the score in its group. Distinct scores are counted first, so a group is as large as it has scores."""
+    counts = df.groupBy(*by, score).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, 0))
+    ranks = counts.withColumn(into, upto - F.col("__c") + (F.col("__c") + 1) / 2).drop("__c")
+    return df.join(ranks, [*by, score])
+
+
+def listed_income(income: DataFrame, ids: DataFrame, key: str, missing: Sequence[float]) -> DataFrame:
+    """Income rows of the persons of a list given as text, without null and missing amounts; what is no number in the list is left out."""
+    known = ids.select(F.col(key).try_cast("bigint").alias("rinpersoon")).filter("rinpersoon IS NOT NULL").distinct()
+    return income.filter(F.col("income").isNotNull() & ~F.col("income").isin(list(missing))).join(known, "rinpersoon", "left_semi")
+
+
+def data_checks(vectors: DataFrame, key: str, vector: str, values: DataFrame, value: str, year: str, last: int = 2022, least: int = 100) -> DataFrame:
+    """``(check, holds)``: what an evaluation relies on."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    there = F.col(vector).isNotNull()
+    v = vectors.agg((F.count_distinct(F.when(there, F.size(vector))) == 1).alias("a"), (F.sum(F.when(there & odd, 1).otherwise(0)) == 0).alias("b"), (F.sum((~there).cast("int")) == 0).alias("c"))
+    w = values.agg((F.sum((F.col(value).isNull() | F.isnan(value)).cast("int")) == 0).alias("d"), (F.max(year) <= last).alias("e"))
+    n = vectors.filter(there).select(key).intersect(values.select(key)).agg((F.count("*") >= least).alias("f"))
+    one = v.join(F.broadcast(w)).join(F.broadcast(n))
+    names = ("vectors have one length", "vectors are numbers", "no vector is missing", "values are numbers", f"no year beyond {last}", "a hundred in common")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("check"), F.col(c).alias("holds")) for c, t in zip("abcdef", names)])))
