@@ -10,8 +10,9 @@ Equal windows have equal keys in every table, so a passage that a document holds
 a pair of windows with an edit meets in one of the tables with probability RECALL at least, and an altered passage is
 found through any of its many windows.
 
-Windows of documents travel only where a bit map of the items' keys, of a fixed size whatever the number of items, lets
-them through. Equal windows of documents, and of items, stand for one while windows are compared.
+Two windows within MAX_EDIT edits have a run of symbols in common (half a window). A window of a document that has no run of any
+item's windows is near none of them, so it needs no walk. Windows travel only where a bit map of the items' keys lets them through. Both maps,
+of runs and of keys, have a fixed size whatever the number of items. Equal windows of documents, and of items, stand for one while windows are compared.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from ..session import Stage
 #: Symbols of a window: words, and letters or digits for the languages in LETTER_LANGUAGES.
 WORDS, LETTERS = 12, 20
 LETTER_LANGUAGES = ("zh",)
-#: Largest edit distance of two windows that count as the same passage, altered.
+#: Largest edit distance of two windows that count as the same passage, altered. Which halves of them then agree (in :func:`leaks`) is so for 1 only.
 MAX_EDIT = 1
 #: Share of the pairs of windows within MAX_EDIT that meet in a table, at least, for symbols changed, put in and left out. What
 #: follows from it (test_keys_reach_the_stated_recall): independent walks, tables of keys for each, positions sampled for a key.
@@ -39,7 +40,7 @@ RECALL = 0.98
 WALKS, TABLES, SAMPLED = 8, 4, 6
 #: The same where only equal windows are sought: they agree in every table, so one is enough.
 EXACT = (1, 1, 20)
-#: Bits (as a power of 2) of the map of item keys by which a task drops other windows before the shuffle. More keys than that only let more through.
+#: Bits (as a power of 2) of the maps of item runs and keys by which a task drops other windows before walk and shuffle. More of them than that only let more through.
 MAP_BITS = 26
 #: Parts of the rows of one window, so that a passage in a share of all documents meets its items in many tasks.
 SALTS = 16
@@ -99,6 +100,21 @@ def cgk_keys(sym: np.ndarray, starts: np.ndarray, width: int, walks: int = WALKS
     return keys
 
 
+def run_keys(sym: np.ndarray, width: int) -> np.ndarray:
+    """A key for each run of symbols as long as two windows within MAX_EDIT edits have in common: at least ``width - MAX_EDIT`` symbols of
+    one are symbols of the other, in at most MAX_EDIT + 1 runs."""
+    length = run_length(width)
+    keys = np.full(max(len(sym) - length + 1, 0), width, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(length):
+            keys = _mix(keys ^ sym[j : j + len(keys)])
+    return keys
+
+
+def run_length(width: int) -> int:
+    return -(-(width - MAX_EDIT) // (MAX_EDIT + 1))
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int = MAX_EDIT, open_end: bool = False) -> np.ndarray:
     """Edit distance of each pair of rows, ``most + 1`` standing for more.
 
@@ -146,8 +162,8 @@ def _windows(ids: Sequence, texts: Sequence[str], letters: bool, width: int) ->
     return sym, start, row
 
 
-ITEM_ROW = "letters boolean, tbl int, key long, id long, window binary, han int"
-DOC_ROW = "letters boolean, id long, pos int, window binary, hits array<struct<tbl:int,key:long>>"
+_COMMON = "letters boolean, id long, window binary, r0 long, r1 long, r2 long, hits array<struct<tbl:int,key:long>>"
+ITEM_ROW, DOC_ROW = f"{_COMMON}, han int", f"{_COMMON}, pos int"
 
 
 def _han(text: str) -> bool:
@@ -172,8 +188,20 @@ def _contents(sym: np.ndarray, starts: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.arange(len(starts) + 1, dtype=np.int32) * width * 8), pa.py_buffer(content)])
 
 
+def _batch(letters: bool, width: int, ids: np.ndarray, sym: np.ndarray, starts: np.ndarray, runs: np.ndarray, keys: np.ndarray, hit: np.ndarray, last: str, values: np.ndarray) -> pa.RecordBatch:
+    """Windows with the runs at their start, one symbol before their end and at their end, and those of their keys (table, window) that ``hit`` (window, table) names."""
+    r, t = np.nonzero(hit)
+    hits = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(r, np.arange(len(starts) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(t.astype(np.int32)), pa.array(keys[t, r].view(np.int64))], ["tbl", "key"])
+    )
+    tail = starts + width - run_length(width)
+    at = [pa.array(runs[x].view(np.int64)) for x in (starts, tail - 1, tail)]
+    columns = [pa.array(np.full(len(starts), letters)), pa.array(ids.astype(np.int64)), _contents(sym, starts, width), *at, hits, pa.array(values.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["letters", "id", "window", "r0", "r1", "r2", "hits", last])
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch], plan: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """A row for each table of each window. ``han``: Han letters in a window of letters."""
+    """A row for each window, with its keys of all tables. ``han``: Han letters in a window of letters."""
     for batch in batches:
         ids, texts, kinds = (batch.column(k).to_pylist() for k in range(3))
         for rows in _groups(texts):
@@ -182,18 +210,29 @@ def _item_windows(batches: Iterator[pa.RecordBatch], plan: tuple[int, int, int])
                 sym, start, row = _windows([ids[k] for k in own], [texts[k] for k in own], letters, width)
                 if not len(start):
                     continue
-                keys, window = cgk_keys(sym, start, width, *plan), _contents(sym, start, width)
-                of = pa.array(np.array([ids[k] for k in own], np.int64)[row])
                 han = np.zeros(len(start), np.int32)
                 if letters:
                     flat = np.array([bool(_HAN.match(c)) for k in own for c in symbols(texts[k], True)], np.int32)
                     upto = np.r_[0, np.cumsum(flat)]
                     han = (upto[start + width] - upto[start]).astype(np.int32)
-                for t in range(len(keys)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(start), letters)), pa.array(np.full(len(start), t, np.int32)), pa.array(keys[t].view(np.int64)), of, window, pa.array(han)],
-                        ["letters", "tbl", "key", "id", "window", "han"],
-                    )
+                runs, of = run_keys(sym, width), np.array([ids[k] for k in own], np.int64)[row]
+                for a in range(0, len(start), 20_000):
+                    part = slice(a, a + 20_000)
+                    keys = cgk_keys(sym, start[part], width, *plan)
+                    yield _batch(letters, width, of[part], sym, start[part], runs, keys, np.ones(keys.T.shape, bool), "han", han[part])
+
+
+def _item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the runs in windows of items."""
+    for batch in batches:
+        texts, kinds = (batch.column(k).to_pylist() for k in (1, 2))
+        for rows in _groups(texts):
+            for letters, width in ((False, WORDS), (True, LETTERS)):
+                own = [texts[k] for k in rows if kinds[k] == letters]
+                sym, start, _ = _windows(own, own, letters, width)
+                if len(start):
+                    inside = np.unique(start[:, None] + np.arange(width - run_length(width) + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(run_keys(sym, width)[inside]).view(np.int64))], ["key"])
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +258,14 @@ def _held(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _doc_windows(batches: Iterator[pa.RecordBatch], held: np.ndarray, any_letters: bool, plain_letters: bool, plan: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of which a key is in the map, with those keys.
+def _with_runs(held: np.ndarray, runs: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the windows in which a run of some item's window occurs; ``runs``: of the text, ``held``: the map of those of items."""
+    upto = np.r_[0, np.cumsum(_held(held, runs))]
+    return np.flatnonzero(upto[starts + width - run_length(width) + 1] > upto[starts])
+
+
+def _doc_windows(batches: Iterator[pa.RecordBatch], held_runs: np.ndarray, held: np.ndarray, any_letters: bool, plain_letters: bool, plan: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """One row for each window with a run in the map ``held_runs`` and a key in the map ``held``, with those keys.
 
     ``any_letters``: items are searched by letters at all; ``plain_letters``: some window of theirs has so few Han letters that a text without any could come near it.
     """
@@ -233,25 +278,17 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], held: np.ndarray, any_letter
                 if not len(start):
                     continue
                 first = np.searchsorted(row, row, "left")
-                for a in range(0, len(start), 200_000):
-                    part = start[a : a + 200_000]
-                    keys = cgk_keys(sym, part, width, *plan)
+                runs = run_keys(sym, width)
+                met = _with_runs(held_runs, runs, start, width)
+                for a in range(0, len(met), 200_000):
+                    part = met[a : a + 200_000]
+                    keys = cgk_keys(sym, start[part], width, *plan)
                     hit = np.stack([_held(held, k) for k in keys], 1)
                     w = np.flatnonzero(hit.any(1))
                     for b in range(0, len(w), 20_000):
                         k = w[b : b + 20_000]
-                        r, t = np.nonzero(hit[k])
-                        lists = pa.ListArray.from_arrays(
-                            pa.array(np.searchsorted(r, np.arange(len(k) + 1)).astype(np.int32)),
-                            pa.StructArray.from_arrays([pa.array(t.astype(np.int32)), pa.array(keys[t, k[r]].view(np.int64))], ["tbl", "key"]),
-                        )
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(k), letters)), pa.array(ids[np.array(own)[row[a + k]]].astype(np.int64)),
-                                pa.array((a + k - first[a + k]).astype(np.int32)), _contents(sym, part[k], width), lists,
-                            ],
-                            ["letters", "id", "pos", "window", "hits"],
-                        )
+                        own_ids, pos = ids[np.array(own)[row[part[k]]]], part[k] - first[part[k]]
+                        yield _batch(letters, width, own_ids, sym, start[part[k]], runs, keys[:, k], hit[k], "pos", pos)
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -283,14 +320,17 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
     item_rows = items.filter(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("id"), F.col(text).alias("text"), by_letters.alias("letters")).distinct()
     windows = Stage(item_rows.mapInArrow(lambda b: _item_windows(b, plan), ITEM_ROW), "items").df
     told = windows.filter("letters").agg(F.count("*").alias("n"), F.min("han").alias("han")).first()
-    held = items.sparkSession.sparkContext.broadcast(_key_map(windows.select("key")))
+    send = items.sparkSession.sparkContext.broadcast
+    held, runs = send(_key_map(windows.select(F.explode("hits.key").alias("key")))), send(_key_map(item_rows.mapInArrow(_item_runs, "key long")))
     any_letters, plain_letters = told["n"] > 0, told["n"] > 0 and told["han"] <= (0 if exact else MAX_EDIT + 1)
     doc_rows = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    found = Stage(doc_rows.mapInArrow(lambda b: _doc_windows(b, held.value, any_letters, plain_letters, plan), DOC_ROW), "windows").df
-    # each window of documents once, each of items once
-    own = found.select("letters", F.col("window").alias("w1"), F.inline("hits")).distinct()
-    theirs = windows.select("letters", "tbl", "key", F.col("window").alias("w2")).distinct()
-    near = own.join(theirs, ["letters", "tbl", "key"]).select("letters", "w1", "w2").distinct().mapInArrow(_verify, "letters boolean, w1 binary, w2 binary, distance int")
+    found = Stage(doc_rows.mapInArrow(lambda b: _doc_windows(b, runs.value, held.value, any_letters, plain_letters, plan), DOC_ROW), "windows").df
+    # each window of documents once, each of items once, told by its two halves until the edit check
+    own, theirs = (df.select("letters", *[F.col(f"r{k}").alias(f"{c}{k}") for k in range(3)], F.inline("hits")).distinct() for df, c in ((found, "a"), (windows, "b")))
+    met = own.join(theirs, ["letters", "tbl", "key"]).filter("a0 = b0 or a2 = b2 or a1 = b2 or a2 = b1").select("letters", "a0", "a2", "b0", "b2").distinct()
+    full1, full2 = (df.select("letters", F.col("r0").alias(f"{c}0"), F.col("r2").alias(f"{c}2"), F.col("window").alias(w)).distinct() for df, c, w in ((found, "a", "w1"), (windows, "b", "w2")))
+    pairs = met.join(full1, ["letters", "a0", "a2"]).join(full2, ["letters", "b0", "b2"]).select("letters", "w1", "w2")
+    near = pairs.mapInArrow(_verify, "letters boolean, w1 binary, w2 binary, distance int")
     near = near.filter("distance = 0") if exact else near
     held_by = windows.select("letters", F.col("id").alias("item_id"), F.col("window").alias("w2")).distinct()
     answers = near.join(held_by, ["letters", "w2"]).groupBy("letters", "w1", "item_id").agg(F.min("distance").alias("distance"))

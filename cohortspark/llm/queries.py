@@ -156,12 +156,13 @@ def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(packed.report().select("target_id", beyond.alias("n_beyond")), "target_id")
 
 
-def _leaks(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text", "lang"), exact=exact)
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text", "lang"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, exact=True).filter("exact_windows > 0").select("doc_id", "item_id")
+    """Of what the whole search finds, altered passages too, the documents that hold a passage word for word."""
+    return _leaks(spark, d).filter("exact_windows > 0").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -153,6 +153,36 @@ def test_exact_search_finds_the_same_exact_windows(spark):
     assert rows(leakage.leaks(docs, items, exact=True)) == rows(leakage.leaks(docs, items)) == [(i, i, 9) for i in range(1, 50, 2)]
 
 
+def test_p9_found_comes_from_the_whole_search(spark, tmp_path, monkeypatch):
+    from cohortspark.llm import queries
+
+    words = [f"w{k}" for k in range(12)]
+    texts = {1: words, 2: [*words[:5], "other", *words[6:]], 3: words[:11]}  # word for word, altered, too short
+    spark.createDataFrame([(i, " ".join(["before", *t, "after"])) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words), "en")], "item_id long, text string, lang string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    real, searched = leakage.leaks, []
+    monkeypatch.setattr(leakage, "leaks", lambda *a, **k: searched.append(real(*a, **k)) or searched[-1])
+    assert [tuple(r) for r in queries.p9_found(spark, str(tmp_path)).collect()] == [(1, 7)]
+    assert {(r["doc_id"], r["exact_windows"]) for r in searched[0].collect()} >= {(1, 1), (2, 0)}
+
+
+def test_near_windows_share_a_run():
+    rng = np.random.default_rng(11)
+    for width in (leakage.WORDS, leakage.LETTERS):
+        n, run = 400, leakage.run_length(width)
+        a = rng.integers(1, 1 << 62, (n, width)).astype(np.uint64)
+        for kind in ("changed", "put in", "left out"):
+            b = _altered(a, kind, rng.integers(1, 1 << 62, n).astype(np.uint64))
+            key = lambda x, k: np.array([leakage.run_keys(r, width)[k] for r in x])
+            first, last = 0, width - run
+            assert ((key(a, first) == key(b, first)) | (key(a, last) == key(b, last)) | (key(a, last - 1) == key(b, last)) | (key(a, last) == key(b, last - 1))).all()
+            held = np.zeros(1 << (leakage.MAP_BITS - 6), np.uint64)
+            for p in leakage._places(np.concatenate([leakage.run_keys(r, width) for r in a])):
+                np.bitwise_or.at(held, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+            assert all(len(leakage._with_runs(held, leakage.run_keys(r, width), np.array([0]), width)) == 1 for r in b)
+        assert len(leakage._with_runs(held, leakage.run_keys(rng.integers(1, 1 << 62, 3000).astype(np.uint64), width), np.arange(2900), width)) < 29
+
+
 def test_leaks(spark):
     words = [f"word{i}" for i in range(30)]
     item, zh = " ".join(words), "".join(chr(0x4E00 + 7 * i) for i in range(40))
