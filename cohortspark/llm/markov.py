@@ -2,9 +2,10 @@
 
 Vectors are first gathered around leaders within the blocks of a learned index: that keeps the similarity graph
 sparse in dense regions, where the pairs of a cluster would grow as its square. Two leaders are linked if any members of
-theirs are: a record that reaches the other leader shows it at once, and where only the triangle of angles leaves a link
-possible the members themselves are compared. On the graph of leaders the flow matrix is squared, inflated and pruned, as
-sparse rows spread over the cluster, until it stays as it is. The rows of attractors define the clusters. The
+theirs are: a record that reaches the other leader shows it at once. On the graph of leaders the flow matrix is squared,
+inflated and pruned, as sparse rows spread over the cluster, until it stays as it is. The rows of attractors define the clusters.
+All that follows works on those clusters: links that the flow has cut join them to groups, and where only the triangle of
+angles leaves a link between two groups possible, the members themselves are compared. The
 members that are most similar to all others of their cluster represent it.
 """
 
@@ -126,32 +127,39 @@ def member_links(pairs: DataFrame, gathered: DataFrame, dim: int = 64, link: flo
     return found.groupBy("a", "b").agg(F.max("strongest").alias("strongest"), F.sum("members").alias("members"))
 
 
-def _label(links: DataFrame) -> DataFrame:
-    """``(leader, comp)`` of the leaders that have links."""
-    return components(links.select(F.struct("a", "b").alias("record"), F.explode(F.array("a", "b")).alias("entity"))).toDF("leader", "comp")
+def cluster_groups(cut: DataFrame) -> DataFrame:
+    """``(cluster, whole)`` of the clusters that links cut by the flow, ``(ca, cb)``, join: the smallest of each group."""
+    return components(cut.select(F.struct("ca", "cb").alias("record"), F.explode(F.array("ca", "cb")).alias("entity"))).toDF("cluster", "whole")
 
 
-def all_links(gathered: DataFrame, tree: RoutingTree, total: int, dim: int = 64, link: float = LINK) -> tuple[DataFrame, DataFrame]:
-    """``(a, b, strongest, members)`` of linked leaders, and ``(leader, comp)``. Pairs that are only possibly linked are settled by their members,
-    unless other links join them anyway."""
-    pairs = Stage(leader_pairs(gathered, tree, total, dim, link), "pairs").df
-    sure = pairs.filter(F.col("strongest") >= link)
-    comp = _label(sure)
-    of = lambda c: comp.toDF(c, f"c{c}")
-    apart = ~F.col("ca").eqNullSafe(F.col("cb")) | F.col("ca").isNull()
-    open_ = pairs.filter(F.col("strongest") < link).select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart)
+def across(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``pairs`` of leaders, with their clusters ``ca`` and ``cb``, that the flow has left in different ones."""
+    a, b = (clusters.select(F.col("leader").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").filter("ca != cb")
+
+
+def border_links(pairs: DataFrame, clusters: DataFrame, gathered: DataFrame, dim: int = 64, link: float = LINK) -> tuple[DataFrame, DataFrame | None]:
+    """``(cluster, whole)`` as :func:`cluster_groups`, and the links ``(a, b, strongest, members)`` between members that :func:`leader_pairs` only holds possible; None if there are none.
+
+    Pairs within a Markov cluster, and between clusters that cut links join anyway, need no comparison.
+    """
+    borders = Stage(across(pairs, clusters), "borders").df
+    cut = borders.filter(F.col("strongest") >= link).select("ca", "cb")
+    groups = cluster_groups(cut)
+    of = lambda c: groups.toDF(f"c{c}", f"g{c}")
+    apart = F.coalesce("ga", "ca") != F.coalesce("gb", "cb")
+    open_ = borders.filter(F.col("strongest") < link).join(of("a"), "ca", "left").join(of("b"), "cb", "left").filter(apart).select("a", "b")
     more = Stage(member_links(open_, gathered, dim, link), "links").df
     if more.isEmpty():
-        return sure, comp
-    both = sure.unionByName(more)
-    return both, _label(both)
+        return groups, None
+    return cluster_groups(cut.unionByName(across(more, clusters).select("ca", "cb"))), more
 
 
-def markov_flow(links: DataFrame, comp: DataFrame, inflation: float = INFLATION, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def markov_flow(links: DataFrame, comp: DataFrame | None = None, inflation: float = INFLATION, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(j, i, w)``: the share of j's flow that ends in i, from ``(a, b, weight)``. Self-loops of the column's strongest weight are added.
 
-    ``comp``: ``(leader, comp)``, the components of the links. Flow never leaves a component, so those that have become still take no part in
-    further rounds. An error is raised if one still changes after ``max_rounds``.
+    ``comp``: ``(leader, comp)``, the components of the links, if they are known. Flow never leaves a component, so those that have become still take
+    no part in further rounds; without it, all go on until all are still. An error is raised if any flow still changes after ``max_rounds``.
     """
     both = links.select(F.explode(F.array(F.struct(F.col("a").alias("j"), F.col("b").alias("i")), F.struct(F.col("b").alias("j"), F.col("a").alias("i")))).alias("e"), "weight").select("e.j", "e.i", F.col("weight").alias("w"))
     loops = both.groupBy("j").agg(F.max("w").alias("w")).select("j", F.col("j").alias("i"), "w")
@@ -165,7 +173,8 @@ def markov_flow(links: DataFrame, comp: DataFrame, inflation: float = INFLATION,
         new = F.col("w") / F.sum("w").over(col)
         return kept.select("comp", "j", "i", new.alias("w"), F.abs(new - F.col("old")).alias("moved"))
 
-    entries = both.unionByName(loops).join(comp.toDF("j", "comp"), "j").withColumn("old", F.lit(0.0))
+    entries = both.unionByName(loops).withColumn("old", F.lit(0.0))
+    entries = entries.withColumn("comp", F.lit(0)) if comp is None else entries.join(comp.toDF("j", "comp"), "j")
     live = Stage(normal(entries, 1.0), "flow").df.filter("w > 0")
     done: list[DataFrame] = []
     for _ in range(max_rounds):
@@ -175,11 +184,12 @@ def markov_flow(links: DataFrame, comp: DataFrame, inflation: float = INFLATION,
         summed = squared.unionByName(before).repartition("j").groupBy("comp", "j", "i").agg(F.sum("w").alias("w"), F.sum("old").alias("old"))
         new = Stage(normal(summed, inflation), "flow").df
         moving = Stage(new.groupBy("comp").agg(F.max("moved").alias("moved")).filter(F.col("moved") > STILL).select("comp"), "moving").df
-        kept = new.filter("w > 0")
-        done.append(Stage(kept.join(moving, "comp", "left_anti").select("j", "i", "w"), "settled").df)
+        live = new.filter("w > 0")
         if moving.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        live = kept.join(moving, "comp", "left_semi")
+            return reduce(DataFrame.unionByName, done, live.select("j", "i", "w"))
+        if comp is not None:
+            done.append(Stage(live.join(moving, "comp", "left_anti").select("j", "i", "w"), "settled").df)
+            live = live.join(moving, "comp", "left_semi")
     raise RuntimeError(f"the flow still changes after {max_rounds} rounds")
 
 
@@ -209,7 +219,8 @@ class Clustering:
     """Markov clusters of the sound vectors of a table.
 
     ``members``: ``(id, leader, cluster)`` of every entity with a sound vector, ``cluster`` being the smallest attractor of its
-    Markov cluster; ``flow``: the limit of the flow matrix; ``links``: the graph. Entities whose vectors are equal have the
+    Markov cluster; ``flow``: the limit of the flow matrix; ``links``: the graph; ``groups``: clusters joined over the cuts, ``(leader, whole)``. Where members
+    alone link two groups, those links have their part in the flow too, which is then taken once more. Entities whose vectors are equal have the
     same cluster. Rows without a sound vector are left out; an empty table gives no members.
     """
 
@@ -218,16 +229,27 @@ class Clustering:
         tree = fit_tree(copies.reps, dim)
         total = copies.reps.count()
         gathered = gather(copies.reps, tree, total, dim, join)
-        self.links, comp = all_links(gathered, tree, total, dim, link)
-        self.flow = markov_flow(self.links.select("a", "b", F.col("strongest").alias("weight")), comp, inflation)
-        ends = attractor_clusters(self.flow)
-        self.clusters = Stage(gathered.select("leader").distinct().join(ends, "leader", "left").select("leader", F.coalesce("cluster", "leader").alias("cluster")), "clusters").df
+        pairs = Stage(leader_pairs(gathered, tree, total, dim, link), "pairs").df
+        self._leaders, self._inflation = gathered.select("leader").distinct(), inflation
+        self.links = pairs.filter(F.col("strongest") >= link)
+        self.clusters = self._flow_clusters()
+        joined, more = border_links(pairs, self.clusters, gathered, dim, link)
+        self.groups = Stage(self.clusters.join(joined, "cluster", "left").select("leader", F.coalesce("whole", "cluster").alias("whole")), "groups").df
+        if more is not None:
+            self.links = self.links.unionByName(more)
+            self.clusters = self._flow_clusters()
         self._placed, self._dim = gathered.withColumnRenamed("id", "rep").join(self.clusters, "leader"), dim
         reps = self._placed.select("rep", "leader", "cluster")
         shared = copies.shared_members().withColumnRenamed("id", "member")
         self._shared = shared
         self.members = reps.join(shared, "rep", "left").select(F.coalesce("member", "rep").alias("id"), "leader", "cluster").distinct()
 
+    def _flow_clusters(self) -> DataFrame:
+        """``(leader, cluster)`` of all leaders, by the flow over ``links``."""
+        self.flow = markov_flow(self.links.select("a", "b", F.col("strongest").alias("weight")), inflation=self._inflation)
+        ends = attractor_clusters(self.flow)
+        return Stage(self._leaders.join(ends, "leader", "left").select("leader", F.coalesce("cluster", "leader").alias("cluster")), "clusters").df
+
     def summary(self, typical: int = 3) -> DataFrame:
         """``(cluster_key, size, typical)``: smallest entity, entities, and those of all members whose similarities to all of the cluster sum to most, best first.
 
@@ -250,9 +272,6 @@ class Clustering:
 
     def joined(self, least: int = 3) -> DataFrame:
         """``(cluster_key, id)`` after an exact check of the cuts: Markov clusters between which a link exists are one, those of fewer entities than ``least`` are left out."""
-        a, b = (self.clusters.select(F.col("leader").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab")
-        cut = self.links.select("a", "b").join(a, "a").join(b, "b").filter("ca != cb")
-        together = components(cut.select(F.struct("a", "b").alias("record"), F.explode(F.array("ca", "cb")).alias("entity"))).toDF("cluster", "whole")
-        placed = self.members.join(together, "cluster", "left").select("id", F.coalesce("whole", "cluster").alias("whole"))
+        placed = self.members.join(self.groups, "leader").select("id", "whole")
         sizes = placed.groupBy("whole").agg(F.count_distinct("id").alias("n"), F.min("id").alias("cluster_key")).filter(F.col("n") >= least)
         return placed.join(sizes, "whole").select("cluster_key", "id").distinct()

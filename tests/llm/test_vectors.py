@@ -163,6 +163,22 @@ def test_attractor_rows_define_clusters(spark):
         markov.markov_flow(links, comp, max_rounds=1)
 
 
+def test_what_follows_the_flow_works_on_its_clusters(spark, monkeypatch):
+    from cohortspark.llm import markov
+
+    degrees = np.deg2rad([0, 30, 60, 2, 32, 62])  # three leaders in a row, which the flow makes one cluster, and a member of each
+    x = np.zeros((6, 64))
+    x[:, 0], x[:, 1] = np.cos(degrees), np.sin(degrees)
+    joined, compared, components, member_links = [], [], markov.components, markov.member_links
+    monkeypatch.setattr(markov, "components", lambda ties: joined.append(ties.count()) or components(ties))
+    monkeypatch.setattr(markov, "member_links", lambda pairs, *a: compared.append(pairs.count()) or member_links(pairs, *a))
+    c = Clustering(spark.createDataFrame(_rows(x), SCHEMA), "id", "v")
+    assert {(r["cluster_key"], r["id"]) for r in c.joined(3).collect()} == {(0, i) for i in range(6)}
+    assert c.clusters.count() == 3 and c.clusters.select("cluster").distinct().count() == 1
+    # nothing is left to join or compare: before, the leaders were joined without the flow
+    assert joined == [0] and compared == [0]
+
+
 def test_empty_clustering(spark):
     c = Clustering(spark.createDataFrame([], SCHEMA), "id", "v")
     assert c.summary().count() == 0 and c.joined().count() == 0
